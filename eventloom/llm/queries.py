@@ -7,8 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, chat, token_counts
-from eventloom.llm.common import table
+from eventloom.llm import bpe, chat, quality, token_counts, toxicity
+from eventloom.llm.common import table, third
+
+
+#: Score from which a document is toxic, and from which it is of good quality.
+TOXIC, GOOD = 0.7, 0.5
+
+
+def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    learn = third(F.col("doc_id")) != 1
+    model = toxicity.fit(docs, labels.where(learn), may_learn=learn)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (third(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = quality.classify(docs, labels.where(third(F.col("doc_id")) != 1), threshold=GOOD)
+    return scored.select("doc_id", (third(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
