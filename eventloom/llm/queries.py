@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, chat, quality, token_counts, toxicity
-from eventloom.llm.common import table, third
+from eventloom.llm import bpe, chat, decontam, pii, quality, token_counts, toxicity, warc
+from eventloom.llm.common import scratch, table, third
 
 
 #: Score from which a document is toxic, and from which it is of good quality.
@@ -23,6 +23,16 @@ def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (third(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op2_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(warc.resolve(table(spark, sf_dir, "pages")), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     scored = quality.classify(docs, labels.where(third(F.col("doc_id")) != 1), threshold=GOOD)
@@ -49,6 +59,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it; clean documents have none."""
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 

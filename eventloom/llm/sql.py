@@ -4,7 +4,22 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6}
+    return {"op3_warc_revisits": OP3, "op6_chat_format": OP6}
+
+
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, {1 + 10 * part}, 10) AS BIGINT) >> {shift}) & 31 AS BIGINT) + 1, 1)"
+    for part in range(4)
+    for shift in range(35, -1, -5)
+)
+OP3 = f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+first_of AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS original FROM hashed)
+SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
+FROM first_of
+"""
 
 
 #: formatted_chars follows from the template: what a turn, a block and each escaped character add.
