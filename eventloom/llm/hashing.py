@@ -34,7 +34,7 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int
     data, starts = utf8(column)
     n, low = len(starts) - 1, 0
     while low < n:
-        high = max(low + 1, int(np.searchsorted(starts, starts[low] + size, "right")) - 1)
+        high = min(low + BLOCK_ROWS, max(low + 1, int(np.searchsorted(starts, starts[low] + size, "right")) - 1))
         yield low, high, data[starts[low] : starts[high]], starts[low : high + 1] - starts[low]
         low = high
 
@@ -79,26 +79,36 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def windows(word: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `width` words inside each text, a shorter text as one; and the text of each."""
+    """Hashes of all runs of `width` words inside each text in order, a shorter text as one; and the text of each."""
     counts = np.diff(first)
-    made = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
-    owner = np.repeat(np.arange(len(counts)), made)
-    if not len(owner):
-        return np.zeros(0, np.uint64), owner
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(made) - made, made)
-    at = first[owner] + offset
-    left = np.minimum(counts[owner] - offset, width)
-    out = np.zeros(len(owner), np.uint64)
-    factor = _C
-    short = int(left.min()) < width
-    for k in range(width):
-        if short:
-            here = left > k
-            out[here] += word[at[here] + k] * factor
-        else:
-            out += word[at + k] * factor
-        factor = np.uint64((int(factor) * int(_A) + 0x632BE5AB) & 0xFFFFFFFFFFFFFFFF | 1)
-    return mix(out ^ left.astype(np.uint64)), owner
+    factors = [int(_C)]
+    for _ in range(width - 1):
+        factors.append((factors[-1] * int(_A) + 0x632BE5AB) & 0xFFFFFFFFFFFFFFFF | 1)
+    n = max(0, len(word) - width + 1)
+    total = np.zeros(n, np.uint64)
+    inside = np.ones(n, bool)
+    for k, factor in enumerate(factors):
+        total += word[k : k + n] * np.uint64(factor)
+        if k:  # the last words of a text begin no window
+            late = first[1:] - k
+            inside[late[(late >= 0) & (late < n)]] = False
+    total = mix(total[inside] ^ np.uint64(width))
+    owner = np.repeat(np.arange(len(counts)), np.maximum(0, counts - width + 1))
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    if len(short):
+        single = np.zeros(len(short), np.uint64)
+        for k in range(width - 1):
+            there = counts[short] > k
+            single[there] += word[first[short[there]] + k] * np.uint64(factors[k])
+        at = np.searchsorted(owner, short)
+        total = np.insert(total, at, mix(single ^ counts[short].astype(np.uint64)))
+        owner = np.insert(owner, at, short)
+    return total, owner
+
+
+#: A shingle hash has 52 bits: with the row (of at most BLOCK_ROWS) above them, one sort of 64-bit numbers orders rows and shingles.
+BITS, BLOCK_ROWS = 52, 4096
+_LOW = np.uint64((1 << BITS) - 1)
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -107,9 +117,13 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.nda
         data = LOWER[data]
         begin, end, first = words(data, starts)
         found, owner = windows(hashes(data, begin, end), first, width)
-        order = np.lexsort((found, owner))
-        found, owner = found[order], owner[order]
-        keep = np.ones(len(found), bool)
-        keep[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-        found, owner = found[keep], owner[keep]
-        yield low, found, np.searchsorted(owner, np.arange(high - low + 1))
+        found >>= np.uint64(64 - BITS)
+        found |= owner.astype(np.uint64) << np.uint64(BITS)
+        found.sort()
+        if len(found):
+            keep = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=keep[1:])
+            found = found[keep]
+        at = np.searchsorted(found, np.arange(high - low + 1, dtype=np.uint64) << np.uint64(BITS)) if high - low < BLOCK_ROWS else np.append(np.searchsorted(found, np.arange(high - low, dtype=np.uint64) << np.uint64(BITS)), len(found))
+        found &= _LOW
+        yield low, found, at
