@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, chat, decontam, pii, quality, token_counts, toxicity, warc
+from eventloom.llm import bpe, chat, decontam, ngram_join, pii, quality, token_counts, toxicity, warc
 from eventloom.llm.common import scratch, table, third
 
 
@@ -59,6 +59,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item found in it; clean documents have none."""
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
