@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, chat, decontam, ngram_join, pii, quality, token_counts, toxicity, warc
+from eventloom.llm import bpe, chat, decontam, embed_dedup, ngram_join, pii, quality, token_counts, toxicity, warc
 from eventloom.llm.common import scratch, table, third
 
 
@@ -59,6 +59,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = embed_dedup.search(table(spark, sf_dir, "embeddings"))
+    return found
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
