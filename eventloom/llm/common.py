@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -94,3 +95,31 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[starts[0] : starts[-1]], starts - starts[0]
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
+    """Of batches sorted by their first `by` columns (bigints without nulls), the rows of each key; a key may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(by)], 1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        bounds = [0, *cuts.tolist(), n]
+        if held and (keys[0] != last).any():
+            yield _one(held)
+            held = []
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            if low and held:
+                yield _one(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+        last = keys[-1]
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)

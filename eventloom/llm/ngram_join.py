@@ -13,7 +13,9 @@ the first n - ceil(0.75 n) + 1 of each (the prefix). The order puts frequent shi
    shingle, the groups that have it. All of them go to the bundle of the first one. Pairs are never written.
    Within a shingle's groups a bundle ends where sizes differ too much to link.
 4. Bundles are expanded to the distinct sets of their groups. A bundle with more than BLOCK_SHINGLES
-   shingles is dealt out to several blocks, each with the sets of the first group.
+   shingles is dealt out to several blocks, each with the sets of the first group. In the others, a set stays
+   only if its bitmap (two bits or more a shingle, by hash) leaves room for enough common shingles with
+   another one: a bit of A that B lacks is a shingle of A that B lacks, so no link is lost.
 5. The sets of a block are verified in one task: exact intersections, links as a spanning forest. Where a
    bundle had several blocks, sets that aren't yet linked to the largest class are compared with every
    block in a second round. So each pair that shares a prefix shingle is either verified or known to be in
@@ -31,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, ship
+from eventloom.llm.common import cut, runs, ship
 from eventloom.llm.components import components
 from eventloom.llm.hashing import mix, shingle_sets
 
@@ -96,8 +98,24 @@ def _prefixes(found: np.ndarray, starts: np.ndarray, known: tuple[np.ndarray, np
     return found[place < size[owner]], np.concatenate([[0], np.cumsum(size)])
 
 
+def _bitmaps(found: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the bitmap of each set, and where each starts: 64 bits or the power of two from twice the size on, by the low bits of the hash."""
+    n = np.diff(starts)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    flags = np.zeros(at[-1], bool)
+    flags[np.repeat(at[:-1], n) + (found & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little"), at // 8
+
+
+def _blobs(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Binary values from an array and where each starts in it."""
+    width = data.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def profile(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """key, n, k1, k2 (of the set), g (of size and prefix), prefix binary (64-bit numbers)."""
+    """key, n, k1, k2 (of the set), g (of size and prefix), prefix (64-bit numbers) and bits binary."""
     held = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +124,11 @@ def profile(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], key: str = "d
                 n = np.diff(starts)
                 prefix, at = _prefixes(found, starts, held.value, percent)
                 g = mix(_key(prefix, at, 3) ^ n.astype(np.uint64))
-                blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(prefix))])
                 as_long = lambda x: pa.array(x.view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(n)), pa.array(n.astype(np.int64)), as_long(_key(found, starts, 1)), as_long(_key(found, starts, 2)), as_long(g), blob], [key, "n", "k1", "k2", "g", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(n)), pa.array(n.astype(np.int64)), as_long(_key(found, starts, 1)), as_long(_key(found, starts, 2)), as_long(g), _blobs(prefix, at), _blobs(*_bitmaps(found, starts))], [key, "n", "k1", "k2", "g", "prefix", "bits"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, docs[text].alias("__text")).mapInArrow(run, f"`{key}` {kind}, n bigint, k1 bigint, k2 bigint, g bigint, prefix binary")
+    return docs.select(key, docs[text].alias("__text")).mapInArrow(run, f"`{key}` {kind}, n bigint, k1 bigint, k2 bigint, g bigint, prefix binary, bits binary")
 
 
 def _bundles(groups: DataFrame, ranges: int, percent: int) -> DataFrame:
@@ -180,7 +197,7 @@ def _bundles(groups: DataFrame, ranges: int, percent: int) -> DataFrame:
     return packed.repartition(ranges, "r").mapInArrow(gather, "leader bigint, member bigint").groupBy("leader", "member").agg(F.count(F.lit(1)).alias("shared")).select("leader", "member")
 
 
-def linked(sizes: np.ndarray, starts: np.ndarray, tokens: np.ndarray, hubs: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def linked(sizes: np.ndarray, tokens: np.ndarray, hubs: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links between sets of a block that join all that is linked there (a spanning forest); hubs: only pairs with one of these."""
     m = len(sizes)
     _, ids = np.unique(tokens, return_inverse=True)
@@ -208,20 +225,61 @@ def linked(sizes: np.ndarray, starts: np.ndarray, tokens: np.ndarray, hubs: np.n
     return edges
 
 
-def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: links within each block. rows: leader, block, rep, late (null: compare all), blob."""
+def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
+    """Which sets have another one that they may link with, by their bitmaps."""
+    good = np.zeros(len(sizes), bool)
+    width = np.array([len(x) for x in bitmaps])
+    for w in np.unique(width):
+        # sets that link differ in size by a third at most, and in the width of their bitmaps by one step
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        rows = np.zeros((len(own), w // 8), np.uint64)
+        for i, x in enumerate(own):
+            rows[i] = np.bitwise_or.reduce(np.frombuffer(bitmaps[x], np.uint64).reshape(-1, w // 8), 0)
+        n = sizes[own]
+        for i in range(len(own) - 1):
+            rest = rows[i + 1 :]
+            most = np.minimum(n[i] - np.bitwise_count(rows[i] & ~rest).sum(1, dtype=np.int64), n[i + 1 :] - np.bitwise_count(rest & ~rows[i]).sum(1, dtype=np.int64))
+            hit = np.flatnonzero(100 * most >= percent * (n[i] + n[i + 1 :] - most))
+            if len(hit):
+                good[own[i]] = True
+                good[own[i + 1 + hit]] = True
+    return good
+
+
+def _survivors(rows: DataFrame, parts: int, percent: int) -> DataFrame:
+    """leader, block, rep, k1, k2 of the sets that may link inside their bundle. rows: the same, n, bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 2):
+            if group.num_rows > 1:
+                good = may_link(group.column(5).to_numpy(), group.column(6).to_pylist(), percent)
+                if good.any():
+                    yield group.select(["leader", "block", "rep", "k1", "k2"]).filter(pa.array(good))
+
+    ordered = rows.select("leader", "block", "rep", "k1", "k2", "n", "bits").repartition(parts, "leader", "block").sortWithinPartitions("leader", "block")
+    return ordered.mapInArrow(run, "leader bigint, block bigint, rep bigint, k1 bigint, k2 bigint")
+
 
-    def run(table: pa.Table) -> pa.Table:
-        reps = table.column("rep").to_numpy()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("blob")]
-        sizes = np.array([len(s) for s in sets])
-        late = table.column("late").to_numpy(zero_copy_only=False)
-        hubs = None if pa.compute.all(pa.compute.is_null(table.column("late"))).as_py() else np.flatnonzero(late == 1)
-        edges = linked(sizes, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(sets), hubs, percent) if len(sets) > 1 else []
-        a, b = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
-        return pa.table({"a": reps[a] if len(edges) else np.zeros(0, np.int64), "b": reps[b] if len(edges) else np.zeros(0, np.int64)})
+def _verify(rows: DataFrame, parts: int, percent: int) -> DataFrame:
+    """a, b: links within each block. rows: leader, block, rep, late (1: compare with all; no row of the block has it: compare all), blob."""
 
-    return rows.groupBy("leader", "block").applyInArrow(run, "a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        for group in runs(batches, 2):
+            if group.num_rows < 2:
+                continue
+            reps, late = group.column(2).to_numpy(), group.column(3).to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(4)]
+            sizes = np.array([len(s) for s in sets])
+            hubs = np.flatnonzero(late == 1) if (late >= 0).any() else None
+            edges = linked(sizes, np.concatenate(sets), hubs, percent)
+            if edges:
+                found.append(reps[np.array(edges)])
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    ordered = rows.select("leader", "block", "rep", "late", "blob").repartition(parts, "leader", "block").sortWithinPartitions("leader", "block")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -239,35 +297,35 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     entries = some.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     ranges = max(shuffles, int(entries // 4e6) + 1)
     bundles = cut(_bundles(grouped, ranges, percent))
-    classes = cut(some.groupBy("g", "k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = cut(some.groupBy("g", "k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")))
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     leaders = bundles.select("leader").distinct().select("leader", F.col("leader").alias("member")).unionByName(several.select(F.col("g").alias("leader"), F.col("g").alias("member"))).distinct()
-    members = cut(
-        bundles.unionByName(leaders).join(classes.select(F.col("g").alias("member"), "k1", "k2", "n", "rep"), "member")
-        .select("leader", (F.col("leader") == F.col("member")).alias("first"), "k1", "k2", "n", "rep")
-    )
+    members = bundles.unionByName(leaders).join(classes.select(F.col("g").alias("member"), "k1", "k2", "n", "rep"), "member").select("leader", (F.col("leader") == F.col("member")).alias("first"), "k1", "k2", "n", "rep")
     sizes = members.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("m > 1").select("leader", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long").alias("blocks"))
-    dealt = members.join(sizes, "leader").withColumn("block", F.explode(F.when(F.col("first") & (F.col("blocks") > 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k1", "k2"), "blocks")))))
+    zero = F.lit(0).cast("long")
+    dealt = cut(members.join(sizes, "leader").withColumn("block", F.explode(F.when(F.col("first") & (F.col("blocks") > 1), F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k1", "k2"), "blocks"))))).select("leader", "block", "blocks", "rep", "k1", "k2"))
+    bits = classes.select("k1", "k2", "n", "bits", "rep")
+    kept = cut(
+        _survivors(dealt.where("blocks = 1").join(bits, ["rep", "k1", "k2"]), ranges, percent)
+        .unionByName(dealt.where("blocks > 1").select("leader", "block", "rep", "k1", "k2"))
+    )
 
     # the sets of the documents that stand for their class
-    needed = members.join(sizes, "leader", "left_semi").select("rep", "k1", "k2").distinct()
-    needed = cut(needed)
+    needed = cut(kept.select("rep", "k1", "k2").distinct())
     ids = needed.select(F.col("rep").alias("id")).distinct()
     chosen = docs.join(F.broadcast(ids), "id", "left_semi") if needed.count() <= BROADCAST_IDS else docs.join(ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, found, starts in shingle_sets(batch.column(1), width):
-                n = len(starts) - 1
-                blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), pa.array(_key(found, starts, 1).view(np.int64)), pa.array(_key(found, starts, 2).view(np.int64)), blob], ["rep", "k1", "k2", "blob"])
+                as_long = lambda salt: pa.array(_key(found, starts, salt).view(np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(starts) - 1), as_long(1), as_long(2), _blobs(found, starts)], ["rep", "k1", "k2", "blob"])
 
     of_rep = chosen.select("id", "text").mapInArrow(sets, "rep bigint, k1 bigint, k2 bigint, blob binary").dropDuplicates(["rep", "k1", "k2"])
-    no_late = F.lit(None).cast("long").alias("late")
-    links = cut(_verify(dealt.join(of_rep, ["rep", "k1", "k2"]).select("leader", "block", "rep", no_late, "blob"), percent))
+    links = cut(_verify(kept.join(of_rep, ["rep", "k1", "k2"]).withColumn("late", F.lit(-1).cast("long")), ranges, percent))
 
     # second round, for bundles of several blocks: what isn't in the bundle's largest class meets every block
-    split = cut(dealt.where("blocks > 1").select("leader", "block", "blocks", "rep", "k1", "k2"))
+    split = dealt.where("blocks > 1")
     if not split.isEmpty():
         so_far = cut(components(links))
         placed = split.join(so_far.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -275,7 +333,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         late = placed.join(largest, "leader").withColumn("late", (F.col("component") != F.col("main")).cast("long"))
         stay = late.where("late = 0").select("leader", "block", "rep", "k1", "k2", "late").distinct()
         move = late.where("late = 1").select("leader", "blocks", "rep", "k1", "k2", "late").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("leader", "block", "rep", "k1", "k2", "late")
-        again = _verify(stay.unionByName(move).join(of_rep, ["rep", "k1", "k2"]).select("leader", "block", "rep", "late", "blob"), percent)
+        again = _verify(stay.unionByName(move).join(of_rep, ["rep", "k1", "k2"]), ranges, percent)
         links = cut(links.unionByName(again))
 
     # rows of one id with several sets tie these together
@@ -286,3 +344,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     out = made.select("id", "n", "k1", "k2").join(placed, ["k1", "k2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs (all columns) with one document of each component: the smallest id. Of rows with one id, the first by text stays; rows without an id stay."""
+    own = F.col(key).cast("long")
+    placed = cut(join(docs, key, text).select(F.col(key).alias("__id"), "component_id"))
+    gone = cut(placed.where("__id <> component_id").select("__id").distinct())
+    twice = cut(placed.where("__id IS NOT NULL").groupBy("__id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__id"))
+    small = gone.count() + twice.count() <= BROADCAST_IDS
+    side = lambda df: F.broadcast(df) if small else df
+    docs = docs.withColumn("__id", own)
+    kept = docs.join(side(gone), "__id", "left_anti")
+    if twice.isEmpty():
+        return kept.drop("__id")
+    first = kept.join(side(twice), "__id", "left_semi").withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy(text))).where("__rank = 1").drop("__rank")
+    return kept.join(side(twice), "__id", "left_anti").unionByName(first).drop("__id")
