@@ -181,8 +181,8 @@ def decode(df: DataFrame, ids: str = "ids", keep: Sequence[str] = ("doc_id",), v
     return df.select(*keep, df[ids].alias("__ids")).mapInArrow(run, _schema_of(df, keep, "decoded binary"))
 
 
-def round_trip(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """Encodes and decodes in one pass: `keep`, n_tokens, ids_sha256, decoded_sha256. Ids don't leave the Python worker."""
+def round_trip(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), vocabulary: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: `keep`, n_tokens, ids_sha256, decoded_sha256; and ids array<int> if asked for (else they don't leave the Python worker)."""
     path, pattern = vocabulary or default_vocabulary()
     ship(df.sparkSession)
     keep = list(keep)
@@ -191,12 +191,17 @@ def round_trip(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id
         tree = codec(path, pattern)
         sha = hashlib.sha256
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            for value in batch.column(len(keep)):
-                ids = tree.encode(value.as_py() or "")
-                counts.append(len(ids))
-                of_ids.append(sha(" ".join(map(tree.text_of.__getitem__, ids)).encode()).hexdigest())
-                of_bytes.append(sha(tree.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, _schema_of(df, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"))
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                counts, of_ids, of_bytes, every = [], [], [], []
+                for value in part.column(len(keep)):
+                    ids = tree.encode(value.as_py() or "")
+                    counts.append(len(ids))
+                    of_ids.append(sha(" ".join(map(tree.text_of.__getitem__, ids)).encode()).hexdigest())
+                    of_bytes.append(sha(tree.decode(ids)).hexdigest())
+                    if with_ids:
+                        every.append(ids)
+                columns = [*(part.column(i) for i in range(len(keep))), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(every, pa.list_(pa.int32()))] * with_ids, [*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+
+    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, _schema_of(df, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids))
