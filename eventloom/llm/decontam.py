@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become sequences of template words: words are lower-cased and parted by anything that is neither
+Texts become sequences of template words, twice: words are lower-cased and parted by anything that is neither
 letter nor digit; numbers (digits or number words), names (capitalised inside a sentence) and units after
-a number become typed placeholders, runs of numbers or of names one. Windows of WIDTH template words are
+a number become typed placeholders, runs of numbers or of names one; the other sequence has names as words, as
+case may have changed, or a sentence begin where the item does. Windows of WIDTH template words are
 hash-joined with those of the benchmark's items, and an item counts as found in a document if, along one
 alignment, enough of its windows match and the slots are consistent: equal values in the item stand for
 equal values in the document and different ones for different ones. So a question with other numbers or
@@ -71,7 +72,8 @@ class Templates:
     first: np.ndarray
 
 
-def templates(data: np.ndarray, starts: np.ndarray) -> Templates:
+def templates(data: np.ndarray, starts: np.ndarray) -> list[Templates]:
+    """With names as placeholders, and with names as words."""
     lower = LOWER[data]
     if len(data) > 1:  # capital letters of Latin-1
         capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
@@ -80,7 +82,7 @@ def templates(data: np.ndarray, starts: np.ndarray) -> Templates:
     n = len(begin)
     value = hashes(lower, begin, end)
     if not n:
-        return Templates(value, np.zeros(0, np.int8), value, first)
+        return [Templates(value, np.zeros(0, np.int8), value, first)] * 2
     head = data[begin]
     second = data[np.minimum(begin + 1, len(data) - 1)]
     wide = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
@@ -99,24 +101,30 @@ def templates(data: np.ndarray, starts: np.ndarray) -> Templates:
     units = np.flatnonzero((kind[1:] != NUMBER) & (kind[:-1] == NUMBER) & ~opening[1:]) + 1
     units = units[_among(value[units], _UNIT_HASHES)]
     kind[units] = UNIT
-    # a run of numbers, or of names, is one placeholder whose value is all of them
+    return [_merged(value, kind, first), _merged(value, np.where(kind == NAME, np.int8(PLAIN), kind), first)]
+
+
+def _merged(value: np.ndarray, kind: np.ndarray, first: np.ndarray) -> Templates:
+    """A run of numbers, or of names, is one placeholder whose value is all of them."""
+    n = len(value)
     keep = np.ones(n, bool)
     keep[1:] = ~((kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME)))
     keep[first[:-1][first[:-1] < n]] = True
-    group = np.cumsum(keep) - 1
-    total = np.zeros(group[-1] + 1, np.uint64)
-    place = np.arange(n) - np.flatnonzero(keep)[group]
-    np.add.at(total, group, value * (2 * place.astype(np.uint64) + np.uint64(1)))
-    kind = kind[keep]
+    at = np.flatnonzero(keep)
+    total = value[at].copy()
+    gone = np.flatnonzero(~keep)
+    if len(gone):
+        group = np.searchsorted(at, gone, "right") - 1
+        np.add.at(total, group, value[gone] * (2 * (gone - at[group]).astype(np.uint64) + np.uint64(1)))
+    kind = kind[at]
     word = np.where(kind == PLAIN, total, _TYPED[kind])
-    return Templates(word, kind, total, np.concatenate([[0], np.cumsum(keep)])[first])
+    return Templates(word, kind, total, np.searchsorted(at, first))
 
 
 @dataclass
 class Items:
-    """A block of the benchmark, with its windows sorted by hash."""
+    """A block of the benchmark in one of the two sequences, with its windows sorted by hash."""
 
-    ids: list
     made: Templates
     hash: np.ndarray
     item: np.ndarray
@@ -138,39 +146,68 @@ def _windows(t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[good], owner[good], at[good]
 
 
-def prepare(ids: list, texts: list[str]) -> Items:
-    column = pa.array([t or "" for t in texts], pa.large_string())
-    (_, _, data, starts), = blocks(column, 1 << 62)
-    made = templates(data, starts)
-    found, owner, at = _windows(made)
-    order = np.argsort(found, kind="stable")
-    maybe = np.zeros(1 << 20, bool)
-    maybe[found >> np.uint64(44)] = True
-    return Items(ids, made, found[order], owner[order], at[order], np.bincount(owner, minlength=len(ids)), maybe)
+@dataclass
+class Block:
+    ids: list
+    kinds: list[Items]
 
 
-def matches(column: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int, bool]]:
+def prepare(ids: list, texts: list[str]) -> Block:
+    column = pa.array([t or "" for t in texts], pa.large_string())
+    size = sum(len(t.encode()) for t in texts if t)
+    parts = []
+    for low, high, data, starts in blocks(column, size + 1):
+        parts.append((low, high, templates(data, starts)))
+    out = []
+    for which in range(2):
+        # blocks have bounded rows, so several may have to be put together
+        made = [p[2][which] for p in parts]
+        sizes = np.cumsum([0, *(len(m.word) for m in made)])
+        first = np.concatenate([*(m.first[:-1] + s for m, s in zip(made, sizes, strict=False)), sizes[-1:]])
+        one = Templates(*(np.concatenate([getattr(m, name) for m in made]) for name in ("word", "kind", "value")), first)
+        found, owner, at = _windows(one)
+        order = np.argsort(found, kind="stable")
+        maybe = np.zeros(1 << 20, bool)
+        maybe[found >> np.uint64(44)] = True
+        out.append(Items(one, found[order], owner[order], at[order], np.bincount(owner, minlength=len(ids)), maybe))
+    return Block(ids, out)
+
+
+def matches(column: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int, bool]]:
     """(row, item, windows matched, windows of the item, whether slots have other values) for items found in texts."""
     for low, _, data, starts in blocks(column):
-        made = templates(data, starts)
-        found, owner, at = _windows_maybe(made, items)
-        if not len(found):
+        best: dict[tuple[int, int], tuple[int, int, bool]] = {}
+        for made, items in zip(templates(data, starts), block.kinds, strict=True):
+            for row, item, n, of, changed in _aligned(made, items):
+                if n > best.get((row, item), (0, 0, False))[0]:
+                    best[row, item] = n, of, changed
+        for (row, item), found in sorted(best.items()):
+            yield low + row, item, *found
+
+
+def _aligned(made: Templates, items: Items) -> Iterator[tuple[int, int, int, int, bool]]:
+    found, owner, at = _windows_maybe(made, items)
+    if not len(found):
+        return
+    left, right = np.searchsorted(items.hash, found, "left"), np.searchsorted(items.hash, found, "right")
+    aligned: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    for row, place, a, b in zip(owner.tolist(), at.tolist(), left.tolist(), right.tolist(), strict=True):
+        for k in range(a, b):
+            aligned[row, int(items.item[k]), place - int(items.at[k])].add(int(items.at[k]))
+    for (row, item, shift), places in aligned.items():
+        of = int(items.n_windows[item])
+        least = min(SHARE * of, ENOUGH)
+        if len(places) < least:
             continue
-        left, right = np.searchsorted(items.hash, found, "left"), np.searchsorted(items.hash, found, "right")
-        aligned: dict[tuple[int, int, int], set[int]] = defaultdict(set)
-        for row, place, a, b in zip(owner.tolist(), at.tolist(), left.tolist(), right.tolist(), strict=True):
-            for k in range(a, b):
-                aligned[row, int(items.item[k]), place - int(items.at[k])].add(int(items.at[k]))
-        best: dict[tuple[int, int], tuple[int, bool]] = {}
-        for (row, item, shift), places in aligned.items():
-            windows_ = int(items.n_windows[item])
-            if len(places) < min(SHARE * windows_, ENOUGH):
+        same, first = _consistent(made, items.made, row, item, shift, places)
+        if same is None:
+            # a word before the item may have run into its first name: without the windows of that slot
+            places = {p for p in places if p > first}
+            if len(places) < max(1, least):
                 continue
-            same = _consistent(made, items.made, row, item, shift, places)
-            if same is not None and len(places) > best.get((row, item), (0, False))[0]:
-                best[row, item] = len(places), not same
-        for (row, item), (n, changed) in sorted(best.items()):
-            yield low + row, item, n, int(items.n_windows[item]), changed
+            same, _ = _consistent(made, items.made, row, item, shift, places)
+        if same is not None:
+            yield row, item, len(places), of, not same
 
 
 def _windows_maybe(made: Templates, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,26 +218,28 @@ def _windows_maybe(made: Templates, items: Items) -> tuple[np.ndarray, np.ndarra
     return found[good], owner[good], at[good]
 
 
-def _consistent(text: Templates, items: Templates, row: int, item: int, shift: int, places: set[int]) -> bool | None:
-    """None: the slots contradict one another. Else whether all values are the same."""
+def _consistent(text: Templates, items: Templates, row: int, item: int, shift: int, places: set[int]) -> tuple[bool | None, int]:
+    """None: the slots contradict one another. Else whether all values are the same. And where the first slot is (the end, if that isn't a name)."""
     size = int(items.first[item + 1] - items.first[item])
     covered = sorted({p + k for p in places for k in range(min(WIDTH, size))})
     of_item, of_text = int(items.first[item]), int(text.first[row]) + shift
-    there, back, same = {}, {}, True
+    there, back, same, first = {}, {}, True, -1
     for k in covered:
         kind = int(items.kind[of_item + k])
         if kind == PLAIN:
             continue
+        if first < 0:
+            first = k if kind == NAME else size
         a, b = (kind, int(items.value[of_item + k])), (kind, int(text.value[of_text + k]))
         if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-            return None
+            return None, first
         same &= a == b
     if size < WIDTH and not same:
-        return None  # too little is literal for other values to be told from another text
-    return same
+        return None, size  # too little is literal for other values to be told from another text
+    return same, first
 
 
-def _item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
+def _item_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Block]:
     ids, texts, size = [], [], 0
     for row in benchmark.select(key, text).where(benchmark[text].isNotNull()).toLocalIterator():
         ids.append(row[0])
