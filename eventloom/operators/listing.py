@@ -26,26 +26,28 @@ def summary(wal: DataFrame, *more: str) -> DataFrame:
     """One row an aggregate (and value of `more`): what a segment, or the whole log, holds of it.
 
     Batches before the last delete count no longer, but keep their part in the largest version and time.
-    The floor starts at the aggregate's first batch if that is its first row; a trim before any row of it is ignored.
-    All of it is one aggregation after a windowless split of the order: first positions are minima, last ones maxima.
+    A trim counts if it comes after the aggregate's first batch or delete.
+
+    The log itself is aggregated before it is shuffled; what is joined to it are tombstones, of which there are few.
     """
     keys = [*KEY, *more]
     batch, delete, trim = (F.col("kind") == k for k in ("event_batch", "soft_delete", "soft_trim"))
     barrier = wal.where(delete).groupBy(*keys).agg(F.max("wal_seq").alias("delete_seq"))
-    born = wal.where(batch | delete).groupBy(*keys).agg(F.min("wal_seq").alias("born"))
-    rows = wal.join(born, keys).join(barrier, keys, "left")
+    trims = wal.where(trim).select(*keys, F.col("wal_seq").alias("trim_seq"), "keep_from")
+    born = wal.where(~trim).join(trims.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.min("wal_seq").alias("born"))
+    floors = trims.join(born, keys).where("trim_seq > born").groupBy(*keys).agg(F.max("keep_from").alias("floor"))
     live = batch & (F.col("wal_seq") > F.coalesce("delete_seq", F.lit(0)))
-    return rows.groupBy(*keys).agg(
+    counted = wal.where(~trim).join(barrier, keys, "left").groupBy(*keys).agg(
         F.count(F.when(live, 1)).alias("batch_count"),
         F.coalesce(F.sum(F.when(live, F.col("size"))), F.lit(0)).alias("total_size"),
         F.coalesce(F.max(F.when(batch, F.col("aggregate_version"))), F.lit(0)).alias("max_version"),
-        F.coalesce(F.max(F.when(batch | delete, F.col("server_timestamp"))), F.lit(0)).alias("max_timestamp"),
-        F.coalesce(F.max(F.when(trim & (F.col("wal_seq") > F.col("born")), F.col("keep_from"))), F.lit(0)).alias("floor"),
+        F.max("server_timestamp").alias("max_timestamp"),
         (F.coalesce(F.max("delete_seq"), F.lit(0)) > F.coalesce(F.max(F.when(batch, F.col("wal_seq"))), F.lit(0))).alias("is_deleted"),
         F.max("delete_seq").isNotNull().alias("has_delete"),
         F.min(F.when(live, F.col("min_event_timestamp"))).alias("min_event_timestamp"),
         F.max(F.when(live, F.col("max_event_timestamp"))).alias("max_event_timestamp"),
     )
+    return counted.join(floors, keys, "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
 
 
 def merge(parts: DataFrame, order: str = "log_id") -> DataFrame:

@@ -37,8 +37,19 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+_LOGS: dict[tuple[str, str], tuple[str, object]] = {}
+
+
 def wal(spark: SparkSession, d: str) -> DataFrame:
-    return model.wal(spark, d)
+    """The stored log of an events table: numbered and written once in an application, sorted so that statistics prune, then read by every query."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LOGS:
+        path = f"{shared(spark)}/wal"
+        made = model.wal(spark, d)
+        made.repartitionByRange("shard_id", "log_id").sortWithinPartitions("shard_id", "log_id", "aggregate_id", "wal_seq").write.option("compression", "zstd").parquet(path)
+        _LOGS[key] = path, made.schema
+    path, schema = _LOGS[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:

@@ -59,24 +59,24 @@ def log_events(events: DataFrame) -> DataFrame:
     )
 
 
-_BATCH = ("aggregate_id", "client_id", "user_id", "bucket")
-
-
 def batches(events: DataFrame) -> DataFrame:
-    """One row a batch with its events as an array; versions are numbered."""
-    e = log_events(events)
-    keys = [F.col(c) for c in (*KEY, "client_id", "user_id", "bucket")]
-    heads = e.groupBy(*keys).agg(F.min("event_timestamp").alias("first_ts"), F.min("event_id").alias("first_id"))
-    version = F.row_number().over(Window.partitionBy("aggregate_id").orderBy("first_ts", "first_id")).cast("long")
-    heads = heads.withColumn("aggregate_version", version)
-    joined = e.join(heads.select(*_BATCH, "first_ts", "first_id", "aggregate_version"), on=(
-        (e.aggregate_id == heads.aggregate_id) & (e.client_id == heads.client_id) & e.user_id.eqNullSafe(heads.user_id) & (e.bucket == heads.bucket)
-    )).select(e["*"], heads.first_ts, heads.first_id, heads.aggregate_version)
-    by_aggregate = Window.partitionBy("aggregate_id").orderBy("aggregate_version", "event_id")
-    by_client = Window.partitionBy("aggregate_id", "client_id").orderBy("aggregate_version", "event_id")
-    sequenced = joined.withColumn("event_seq", F.row_number().over(by_aggregate).cast("long")).withColumn("client_seq", F.row_number().over(by_client).cast("long"))
-    event = F.struct("client_seq", "event_seq", "event_id", "event_timestamp", "event_type_major", "event_type_minor", "amount", "props")
-    return sequenced.groupBy(*KEY, "aggregate_version", "client_id", "user_id", "first_ts", "first_id").agg(F.array_sort(F.collect_list(event), lambda a, b: F.when(a["event_seq"] < b["event_seq"], -1).when(a["event_seq"] > b["event_seq"], 1).otherwise(0)).alias("events"))
+    """One row a batch with its events as an array; versions are numbered, and `last` is the aggregate's largest.
+
+    Events are shuffled once, by aggregate: every window and the grouping below are within an aggregate, so that
+    partitioning serves them all.
+    """
+    e = log_events(events).repartition("aggregate_id")
+    of_batch = Window.partitionBy("aggregate_id", "client_id", "user_id", "bucket")
+    of_aggregate = Window.partitionBy("aggregate_id")
+    by_version = of_aggregate.orderBy("aggregate_version", "event_id")
+    rows = (
+        e.withColumns({"first_ts": F.min("event_timestamp").over(of_batch), "first_id": F.min("event_id").over(of_batch)})
+        .withColumn("aggregate_version", F.dense_rank().over(of_aggregate.orderBy("first_ts", "first_id")).cast("long"))
+        .withColumns({"event_seq": F.row_number().over(by_version).cast("long"), "last": F.max("aggregate_version").over(of_aggregate)})
+        .withColumn("client_seq", F.row_number().over(Window.partitionBy("aggregate_id", "client_id").orderBy("aggregate_version", "event_id")).cast("long"))
+    )
+    event = F.struct("event_seq", "client_seq", "event_id", "event_timestamp", "event_type_major", "event_type_minor", "amount", "props")
+    return rows.groupBy(*KEY, "aggregate_version", "client_id", "user_id", "first_ts", "first_id", "last").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
 
 def batch_metadata(rows: DataFrame) -> DataFrame:
@@ -89,14 +89,12 @@ def batch_metadata(rows: DataFrame) -> DataFrame:
 
 def build_wal(events: DataFrame) -> DataFrame:
     b = batch_metadata(batches(events))
-    last = b.groupBy("aggregate_id").agg(F.max("aggregate_version").alias("last"))
     a = F.col("aggregate_id")
-    with_last = b.join(last, "aggregate_id")
     is_delete = (a % 11 == 0) & (F.col("aggregate_version") == F.floor((F.col("last") + 1) / 2)) | (a % 17 == 0) & (F.col("aggregate_version") == F.col("last"))
     is_trim = (a % 13 == 0) & (F.col("aggregate_version") == F.col("last"))
     # a batch and what follows it at once: exploded from one row, so the batches aren't read again for tombstones
     kinds = F.array_compact(F.array(F.lit("event_batch"), F.when(is_delete, "soft_delete"), F.when(is_trim, "soft_trim")))
-    rows = with_last.select("*", F.explode(kinds).alias("kind"))
+    rows = b.select("*", F.explode(kinds).alias("kind"))
     batch, trim, delete = (F.col("kind") == k for k in ("event_batch", "soft_trim", "soft_delete"))
     only = lambda c: F.when(batch, F.col(c)).alias(c)
     rank = F.when(batch, 0).when(delete, 1).otherwise(2)
