@@ -301,9 +301,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     leaders = bundles.select("leader").distinct().select("leader", F.col("leader").alias("member")).unionByName(several.select(F.col("g").alias("leader"), F.col("g").alias("member"))).distinct()
     members = bundles.unionByName(leaders).join(classes.select(F.col("g").alias("member"), "k1", "k2", "n", "rep"), "member").select("leader", (F.col("leader") == F.col("member")).alias("first"), "k1", "k2", "n", "rep")
-    sizes = members.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("m")).where("m > 1").select("leader", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("long").alias("blocks"))
+    # few bundles need several blocks (there are at most as many as BLOCK_SHINGLES goes into all members' shingles)
+    large = cut(members.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks")).where("blocks > 1"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
     zero = F.lit(0).cast("long")
-    dealt = cut(members.join(sizes, "leader").withColumn("block", F.explode(F.when(F.col("first") & (F.col("blocks") > 1), F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k1", "k2"), "blocks"))))).select("leader", "block", "blocks", "rep", "k1", "k2"))
+    placed = members.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = cut(placed.withColumn("block", F.explode(F.when(F.col("first") & (F.col("blocks") > 1), F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k1", "k2"), "blocks"))))).select("leader", "block", "blocks", "rep", "k1", "k2"))
     bits = classes.select("k1", "k2", "n", "bits", "rep")
     kept = cut(
         _survivors(dealt.where("blocks = 1").join(bits, ["rep", "k1", "k2"]), ranges, percent)
