@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import errors
 from eventloom.plans.model import SHARDS
+from eventloom.sources.shipping import ship
 
 SCHEMA = "shard_id bigint, command_id bigint, aggregate_id bigint, op string, accepted boolean, code int, aggregate_version bigint, event_seq bigint"
 
@@ -93,6 +94,7 @@ COMMAND_SCHEMA = "command_id bigint, op string, aggregate_id bigint, client_id b
 
 def decisions(commands: DataFrame) -> DataFrame:
     """SCHEMA for each command. A shard's commands go through one task in order, a batch at a time."""
+    ship(commands.sparkSession)
     shard = F.pmod("aggregate_id", F.lit(SHARDS))
     names = [c.strip().split(" ")[0] for c in COMMAND_SCHEMA.split(",")]
 
