@@ -1,13 +1,10 @@
-"""Shared plumbing: tables, the shared folder, shipping code to executors, Arrow helpers."""
+"""Shared plumbing: tables, the shared folder, Arrow helpers."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,24 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir():
-        folder = tempfile.mkdtemp()
-        archive = os.path.join(folder, f"{root.name}_code.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted(root.rglob("*.py")):
-                out.write(path, f"{root.name}/{path.relative_to(root)}")
-        sc.addPyFile(archive)
-    _SHIPPED.add(sc.applicationId)
-
+from eventloom.sources.shipping import ship
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
