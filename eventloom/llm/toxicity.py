@@ -146,10 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
                 owner, found = _once(owner, found)
                 one, where = np.unique(found, return_inverse=True)
                 in_p, in_u = (np.bincount(where, weights=x[low:high][owner]) for x in (p, u))
-                worth = np.flatnonzero(in_p > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(one[worth].view(np.int64)), pa.array(in_p[worth]), pa.array(in_u[worth])], ["f", "p", "u"])
-                rest = np.flatnonzero((in_p == 0) & (in_u > 1))
-                yield pa.RecordBatch.from_arrays([pa.array(one[rest].view(np.int64)), pa.array(in_p[rest]), pa.array(in_u[rest])], ["f", "p", "u"])
+                # all of them: what is rare in a block may be frequent in the sample
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(in_p), pa.array(in_u)], ["f", "p", "u"])
 
     n_p, n_u = ids.agg(F.sum("p"), F.sum("u")).first()
     if not n_p or not n_u:

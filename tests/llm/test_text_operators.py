@@ -193,6 +193,18 @@ def test_classifiers_on_held_out_documents(spark):
     assert (got["predicted"] == got["quality"]).mean() > 0.97
 
 
+def test_features_do_not_depend_on_blocks(spark):
+    frame, labels = labelled(spark, 300)
+    chosen = []
+    for rows in ("10000", "1"):  # rows of a batch, and so of a block at most
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            chosen.append(toxicity.fit(frame, labels.select("doc_id", "toxic")).chosen.sorted.tolist())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert chosen[0] == chosen[1] and chosen[0]
+
+
 def test_classifiers_without_labels_or_text(spark):
     frame = docs(spark, ODD)
     none = spark.createDataFrame([(None, None), (1, None), (77, 1)], "doc_id bigint, toxic int")
