@@ -5,7 +5,8 @@
 brackets) into plain text and keeps, for each character it writes, the span of source characters that it
 stands for. Identifiers found in the rewritten text are mapped back through these spans to the source.
 A span from the transducer is added only where at least one of its characters was rewritten and no base
-span overlaps it, so base spans always stay as they are.
+span overlaps it, so base spans always stay as they are. "at" before a host with plain dots counts as an address
+("bob at example.com") unless one of the words PLACED stands before it ("visit us at example.com").
 
 Offsets are code points, end exclusive. A null text counts as empty and has no spans. Whole texts are
 read; repeated rows give repeated results, an empty table an empty one.
@@ -118,15 +119,32 @@ _ODD = "".join(re.escape(chr(c)) for c in sorted(_ONE))
 _NAMES = "|".join(sorted(DIGITS, key=len, reverse=True))
 
 _MARKED = r"[\[({<]\s*(?:at|@)\s*[\])}>]|[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]"
-_SPOKEN = r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*dot\s*[\])}>]\s*)[A-Za-z])"
+_HOST = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
+_SPOKEN = rf"(?<=[A-Za-z0-9])\s+at\s+(?={_HOST}(?:\s+dot\s+|\s*[\[({{<]\s*dot\s*[\])}}>]\s*)[A-Za-z])"
+#: "at" before a host with plain dots, whose last part is of letters of one case; neither a time of day nor the end of one sentence and the begin of another.
+_SPOKEN_HOST = rf"(?<=[A-Za-z0-9])\s+at\s+(?={_HOST}\.(?-i:[a-z]{{2,}}|[A-Z]{{2,}})(?![A-Za-z0-9-]))(?![0-9.]+[ap]m\b)"
+# Words after which "at" and a host name say where something is ("visit us at example.com"), not whose address it is.
+PLACED = frozenset(
+    "i me you he him she her it we us they them this that these those who what which one all everyone and or but not also is are was were be been being am "
+    "look looked looking looks see seen visit visited find found available online live here there out more now today only back up down on over hosted based located "
+    "posted published listed website site page pages blog store shop article download downloaded read shown register registered sign work works worked working "
+    "arrive arrived stay stayed meet met start started end ended buy sold sale order ordered".split()
+)
 #: At least four names of digits in a row, of which a number is made; hyphens, dots and blanks may part them.
 _SPELLED = rf"(?<![\w])(?:{_NAMES})(?:[\s,-]{{1,3}}(?:{_NAMES})){{3,}}(?!\w)"
-#: Texts in which nothing of this occurs are not rewritten (RE2, for whole batches at once).
-TRIGGER = rf"(?i)[{_ODD}]|[\[({{<]\s*(?:at|@|dot|punkt|punto|point|\.)\s*[\])}}>]|[a-z0-9]\s+at\s+[a-z0-9-]+\s+dot\s|\b(?:{_NAMES})(?:[\s,-]{{1,3}}(?:{_NAMES})){{3}}"
+# what \s means in Python, for RE2
+_BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+#: Texts in which nothing of this occurs are not rewritten (RE2, for whole batches at once). It must find at least what _ODD, _STEP and the dots below find; Python takes ı and İ for i.
+TRIGGER = rf"(?i)[{_ODD}ıİ]|[\[({{<][{_BLANK}]*(?:at|@|dot|punkt|punto|point|\.)[{_BLANK}]*[\])}}>]|[a-z0-9-][{_BLANK}]+dot[{_BLANK}]+[a-z0-9]|[a-z0-9][{_BLANK}]+at[{_BLANK}]+[a-z0-9-]+\.[a-z0-9-]|(?:{_NAMES})(?:[{_BLANK},-]{{1,3}}(?:{_NAMES})){{3}}"
 
-_STEP = re.compile(rf"(?i)(?P<mark>\s*(?:{_MARKED})\s*)|(?P<spoken>{_SPOKEN})|(?P<spelled>{_SPELLED})|(?P<odd>[{_ODD}])")
+_STEP = re.compile(rf"(?i)(?P<mark>\s*(?:{_MARKED})\s*)|(?P<spoken>{_SPOKEN})|(?P<host>{_SPOKEN_HOST})|(?P<spelled>{_SPELLED})|(?P<odd>[{_ODD}])")
 _NAME = re.compile(rf"(?i){_NAMES}")
-_SPOKEN_DOT = re.compile(r"(?i)\s+dot\s+(?=[a-z0-9])")
+_SPOKEN_DOT = re.compile(r"(?i)(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])")
+#: Dots of the addresses of machines.
+_NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\s+dot\s+(?=[0-9])")
+# what matches another letter when case is ignored, but isn't lowered to it
+_SAME = str.maketrans("ſıİ", "sii")
+_WORD_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 
 
 class Transducer:
@@ -154,8 +172,9 @@ class Transducer:
         self.text, self.begins, self.ends = "".join(out), begins, ends
         self.changed = {i for i in range(len(self.text)) if self.ends[i] - self.begins[i] != 1 or self.text[i] != text[self.begins[i]]}
         self._again(lambda m: self._of_words(m), _STEP)
+        self._again(lambda m: [(".", m.start(), m.end())], _NUMBER_DOT)
         if "@" in self.text:
-            self._again(lambda m: [(".", m.start(), m.end())], re.compile(r"(?i)(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])"), only_after="@")
+            self._again(lambda m: [(".", m.start(), m.end())], _SPOKEN_DOT, only_after="@")
 
     @staticmethod
     def _of_words(match: re.Match) -> list[tuple[str, int, int]]:
@@ -163,8 +182,11 @@ class Transducer:
             return [("@" if re.search(r"(?i)at|@", match.group()) else ".", match.start(), match.end())]
         if match.group("spoken"):
             return [("@", match.start(), match.end())]
+        if match.group("host"):
+            before = _WORD_BEFORE.search(match.string[max(0, match.start() - 64) : match.start()])
+            return [("@", match.start(), match.end())] if before and before.group().lower() not in PLACED else []
         if match.group("spelled"):
-            return [(DIGITS[m.group().lower()], match.start() + m.start(), match.start() + m.end()) for m in _NAME.finditer(match.group())]
+            return [(DIGITS[m.group().translate(_SAME).lower()], match.start() + m.start(), match.start() + m.end()) for m in _NAME.finditer(match.group())]
         return []
 
     def _again(self, rewrite, pattern: re.Pattern, only_after: str = "") -> None:

@@ -135,6 +135,35 @@ def test_disguises_map_back(text, found):
     assert [(k, text[a:b]) for k, a, b in every] == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("alice@example dot com", [("email", "alice@example dot com")]),
+        ("to alice@example dot co dot uk now", [("email", "alice@example dot co dot uk")]),
+        ("host 192 dot 168 dot 0 dot 1 is up", [("ip", "192 dot 168 dot 0 dot 1")]),
+        ("host 192.168 DOT 0 dot 1 is up", [("ip", "192.168 DOT 0 dot 1")]),
+        ("mail bob at mail.example dot com please", [("email", "bob at mail.example dot com")]),
+        ("mail bob at example.com.", [("email", "bob at example.com")]),
+        ("visit us at example.com or come at 10.am, we met at home.Then we left", []),
+        ("version 3 dot 5 of it", []),
+        ("the dot on the i", []),
+    ],
+)
+def test_spoken_forms_pass_the_gate(text, found):
+    ((_, _, every),) = pii._find_all(pa.array([text]))
+    assert [(k, text[a:b]) for k, a, b in every] == found
+
+
+PIECES = ["a", "bob", "x1", "example", "com", "10", "192", "168", "@", ".", "-", "+", " ", "  ", "\t", "\x0b", "\u2003", " at ", " dot ", " DOT ", "[at]", "(dot)", "< point >", " at mail.", "us", "ſeven", "one ", "fıve ", "zéro,", "NINE-", "é", "\u00ad", "а"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=16).map("".join))
+def test_gate_loses_nothing(text):
+    ((_, own, every),) = pii._find_all(pa.array([text]))
+    assert (own, every) == pii.find(text)
+
+
 def test_pii_frames(spark):
     texts = [*ODD, "a@b.co and 1.2.3.4", "+1 (988) 555-2485", "4111 1111 1111 1111", "joe at example dot com"]
     got = {r["doc_id"]: r for r in pii.digests(docs(spark, texts)).collect()}
