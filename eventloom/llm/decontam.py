@@ -8,7 +8,8 @@ hash-joined with those of the benchmark's items, and an item counts as found in
 alignment, enough of its windows match and the slots are consistent: equal values in the item stand for
 equal values in the document and different ones for different ones. So a question with other numbers or
 names is found, while texts that only share a shape aren't: a window must hold LITERALS words that
-aren't placeholders, or (in items too short for that) match with the very same values.
+aren't placeholders. Items without such a window (shorter ones, and those dense with numbers, names or units) are
+found wherever all their words stand in a row, with the very same values: also a single word, if that is an item.
 
 The benchmark is a stated query set: it is taken in blocks of at most BLOCK_BYTES of text, each of which goes to
 all executors once; every document is compared with every block.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventloom.llm.common import ship
-from eventloom.llm.hashing import LOWER, blocks, hashes, windows, words
+from eventloom.llm.hashing import LOWER, blocks, hashes, mix, windows, words
 from eventloom.llm.toxicity import APART
 
 WIDTH, LITERALS = 8, 4
@@ -72,12 +73,17 @@ class Templates:
     first: np.ndarray
 
 
-def templates(data: np.ndarray, starts: np.ndarray) -> list[Templates]:
-    """With names as placeholders, and with names as words."""
+def _lowered(data: np.ndarray) -> np.ndarray:
     lower = LOWER[data]
     if len(data) > 1:  # capital letters of Latin-1
         capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
         lower[capital] += 32
+    return lower
+
+
+def templates(data: np.ndarray, starts: np.ndarray) -> list[Templates]:
+    """With names as placeholders, and with names as words."""
+    lower = _lowered(data)
     begin, end, first = words(data, starts, APART)
     n = len(begin)
     value = hashes(lower, begin, end)
@@ -146,10 +152,67 @@ def _windows(t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found[good], owner[good], at[good]
 
 
+@dataclass
+class Exact:
+    """Items that must occur word for word, by the largest power of two up to their length: hash of so many first words (sorted), of so many last ones, length, item."""
+
+    groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
 @dataclass
 class Block:
     ids: list
     kinds: list[Items]
+    exact: Exact
+
+
+def _raw(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, nothing being a placeholder; first word of each text."""
+    begin, end, first = words(data, starts, APART)
+    return hashes(_lowered(data), begin, end), first
+
+
+def _doubled(value: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hashes of all runs of so many words) for the powers of two up to most; runs may cross texts."""
+    width = 1
+    while width <= most and len(value):
+        yield width, value
+        value = mix(value[:-width] + mix(value[width:] ^ np.uint64(width)))
+        width *= 2
+
+
+def _exact_items(value: np.ndarray, first: np.ndarray, which: np.ndarray) -> Exact:
+    size = np.diff(first)
+    which = which[size[which] > 0]
+    groups = {}
+    for width, run in _doubled(value, int(size[which].max(initial=0))):
+        here = which[(size[which] >= width) & (size[which] < 2 * width)]
+        if len(here):
+            head = run[first[here]]
+            order = np.argsort(head, kind="stable")
+            here = here[order]
+            groups[width] = head[order], run[first[here] + size[here] - width], size[here], here
+    return Exact(groups)
+
+
+def _whole(value: np.ndarray, first: np.ndarray, exact: Exact) -> np.ndarray:
+    """(row, item) of exact items in texts, each once. First and last words of an item overlap or meet, so both together are all of it."""
+    out = [np.zeros((0, 2), np.int64)]
+    ends = np.repeat(first[1:], np.diff(first))
+    for width, run in _doubled(value, max(exact.groups, default=0)):
+        if width not in exact.groups:
+            continue
+        head, tail, size, item = exact.groups[width]
+        at = np.flatnonzero(_among(run, head))
+        low, high = np.searchsorted(head, run[at], "left"), np.searchsorted(head, run[at], "right")
+        n = high - low
+        at = np.repeat(at, n)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        inside = at + size[k] <= ends[at]
+        at, k = at[inside], k[inside]
+        same = run[at + size[k] - width] == tail[k]
+        out.append(np.stack([np.searchsorted(first, at[same], "right") - 1, item[k[same]]], 1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def prepare(ids: list, texts: list[str]) -> Block:
@@ -157,8 +220,9 @@ def prepare(ids: list, texts: list[str]) -> Block:
     size = sum(len(t.encode()) for t in texts if t)
     parts = []
     for low, high, data, starts in blocks(column, size + 1):
-        parts.append((low, high, templates(data, starts)))
+        parts.append((low, high, templates(data, starts), _raw(data, starts)))
     out = []
+    lacks = np.zeros(len(ids), bool)
     for which in range(2):
         # blocks have bounded rows, so several may have to be put together
         made = [p[2][which] for p in parts]
@@ -166,11 +230,15 @@ def prepare(ids: list, texts: list[str]) -> Block:
         first = np.concatenate([*(m.first[:-1] + s for m, s in zip(made, sizes, strict=False)), sizes[-1:]])
         one = Templates(*(np.concatenate([getattr(m, name) for m in made]) for name in ("word", "kind", "value")), first)
         found, owner, at = _windows(one)
+        full = np.bincount(owner[np.diff(first)[owner] >= WIDTH], minlength=len(ids))
+        lacks |= full == 0
         order = np.argsort(found, kind="stable")
         maybe = np.zeros(1 << 20, bool)
         maybe[found >> np.uint64(44)] = True
         out.append(Items(one, found[order], owner[order], at[order], np.bincount(owner, minlength=len(ids)), maybe))
-    return Block(ids, out)
+    sizes = np.cumsum([0, *(len(p[3][0]) for p in parts)])
+    first = np.concatenate([*(p[3][1][:-1] + s for p, s in zip(parts, sizes, strict=False)), sizes[-1:]])
+    return Block(ids, out, _exact_items(np.concatenate([p[3][0] for p in parts]), first, np.flatnonzero(lacks)))
 
 
 def matches(column: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int, bool]]:
@@ -181,6 +249,10 @@ def matches(column: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int
             for row, item, n, of, changed in _aligned(made, items):
                 if n > best.get((row, item), (0, 0, False))[0]:
                     best[row, item] = n, of, changed
+        if block.exact.groups:
+            for row, item in _whole(*_raw(data, starts), block.exact).tolist():
+                of = max(1, *(int(k.n_windows[item]) for k in block.kinds))
+                best.setdefault((row, item), (of, of, False))
         for (row, item), found in sorted(best.items()):
             yield low + row, item, *found
 

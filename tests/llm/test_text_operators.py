@@ -280,6 +280,31 @@ def test_short_items_need_their_values():
     assert [m[:2] for m in decontam.matches(pa.array(["what is 3 plus 4", "what is 5 plus 4"]), items)] == [(0, 0)]
 
 
+DENSE = "12 kg 7 m 30 s 5 km 9 cm 4 mg 8 ml 3 h"
+SHORT = ["What is 3 plus 4?", DENSE, "Alice Bob", "word", "Name Ångström in 2 words", "What is 3 plus 4 plus 5?"]
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Well, what is 3 plus 4? 12 is wrong.", [0]),
+        ("9 What is 3 plus 4 plus 5? I don't know.", [0, 5]),
+        ("Well, what is 3 plus 5? 4 is wrong, what is 3.", []),
+        (f"he noted 99 {DENSE} 17 and went", [1]),
+        (f"he noted 99 {DENSE.replace('30', '31')} 17 and went", []),
+        ("to Carol Alice Bob Dave", [2]),
+        ("a word, a WORD, and words", [3]),
+        ("so NAME ÅNGSTRÖM IN 2 WORDS", [4]),
+        ("what is 3 plus", []),
+    ],
+)
+def test_items_without_windows_inside_longer_texts(text, found):
+    items = decontam.prepare(list(range(len(SHORT))), SHORT)
+    column = pa.array(["4? and", "filler " * 30 + text + " filler" * 30, "what is 3 plus", text, None])
+    got = [(row, item) for row, item, *_ in decontam.matches(column, items)]
+    assert got == [(row, item) for row in (1, 3) for item in found]
+
+
 def test_decontamination_frames(spark):
     frame = docs(spark, [*ODD, f"x {ITEM} y", f"{ITEM} {ITEM}"])
     bench = spark.createDataFrame([(7, ITEM, 1), (8, None, 1), (9, "", 1), (10, "word", 1)], "item_id bigint, text string, doc_id int")
