@@ -14,8 +14,12 @@ Vectors with equal label (and dimension) are compared by cosine; pairs of at lea
 4. Candidate classes are the components of these pairs. Within each, all pairs are compared exactly in
    double precision, block against block (BLOCK nodes), which gives the threshold edges: links are counted, not written,
    and a spanning forest of them gives the components. Saturated lists are thereby completed exactly.
-5. Recall audit: AUDIT nodes (by hash) are compared with all nodes by brute force. Below RECALL, new orders and
-   rounds follow, TRIES times at most; links that the audit itself finds are kept. `audit` reports the recall.
+5. Recall audit: a sample of each label (by hash, AUDIT nodes, more of larger labels) is compared with all nodes of the
+   label by brute force, and the share of its links that lie within candidate classes is taken node by node. Labels whose mean over
+   nodes with links, or over those with more than LONGEST, is below RECALL get new orders and rounds, TRIES times at most. Labels with
+   too few linked nodes in the sample are judged together. What is still below, or can't be judged, is one class in step 4, so all
+   its pairs are compared: exact, and quadratic in the size of the label. Links that the audit itself finds are kept.
+   Bits, number of orders and sample grow with the largest label beyond USUAL nodes.
 
 Groups use half-precision unit vectors and a threshold lower by SLACK, above their rounding error; step 4 decides.
 Null, zero and empty vectors, and vectors with null or non-finite components, and rows with a null label or id,
@@ -40,6 +44,8 @@ TABLES, RUN, BITS = 4, 256, 16
 LIST, LONGEST, PART, BEST = 10, 80, 256, 3
 ROUNDS, CHANGED = 8, 0.01
 BLOCK, AUDIT, RECALL, TRIES = 1024, 128, 0.98, 3
+#: Size of a label from which effort grows; nodes of all samples together; linked nodes from which a label is judged by its own.
+USUAL, MOST_AUDITED, LEAST_LINKED = 1 << 13, 1 << 14, 20
 
 
 def _unit(data: list[bytes], dtype: type = np.float32) -> np.ndarray:
@@ -128,7 +134,7 @@ def _best(ids: np.ndarray, sims: np.ndarray, allowed: np.ndarray, least: np.ndar
             sim += [sims[a, b], sims[a, b]]
 
 
-def _start(known: DataFrame, table: int, floor: float, parts: int) -> DataFrame:
+def _start(known: DataFrame, table: int, floor: float, parts: int, bits: int) -> DataFrame:
     """src, dst, sim within runs of one order of the nodes."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +145,8 @@ def _start(known: DataFrame, table: int, floor: float, parts: int) -> DataFrame:
             for size in np.unique(length):  # dimensions apart
                 here = np.flatnonzero(length == size)
                 x = np.frombuffer(b"".join(data[i] for i in here), np.float16).reshape(len(here), -1).astype(np.float32)
-                planes = np.random.default_rng((table, int(size))).standard_normal((x.shape[1], BITS)).astype(np.float32)
-                out[here] = (int(size) << BITS) + ((x @ planes > 0) << np.arange(BITS)).sum(1)
+                planes = np.random.default_rng((table, int(size))).standard_normal((x.shape[1], bits)).astype(np.float32)
+                out[here] = (int(size) << bits) + ((x @ planes > 0) << np.arange(bits)).sum(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], ["id", "label", "half", "code"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +170,7 @@ def _start(known: DataFrame, table: int, floor: float, parts: int) -> DataFrame:
             yield compare(held)
 
     coded = known.select("id", "label", "half").mapInArrow(code, "id bigint, label bigint, half binary, code bigint")
-    return coded.repartitionByRange(parts, "label", "code", "id").sortWithinPartitions("label", F.shiftright("code", BITS), "code", "id").select("id", "label", "half").mapInArrow(pairs, _FOUND)
+    return coded.repartitionByRange(parts, "label", "code", "id").sortWithinPartitions("label", F.shiftright("code", bits), "code", "id").select("id", "label", "half").mapInArrow(pairs, _FOUND)
 
 
 def _lists(found: DataFrame, sizes: DataFrame | None) -> DataFrame:
@@ -299,56 +305,113 @@ def _exact(known: DataFrame, candidates: DataFrame, threshold: float) -> DataFra
     return dealt.groupBy("component", "i", "j").applyInArrow(run, "id bigint, links bigint, a bigint, b bigint")
 
 
-def _audit(known: DataFrame, size: int, threshold: float) -> DataFrame:
-    """a, b: all links of a sample of nodes, by brute force. The sample is of bounded size and sent to all tasks."""
-    sample = known.select("id", "label", "raw").orderBy(F.xxhash64("id"), "id").limit(size).collect()
-    by: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for place in {(r["label"], len(r["raw"])) for r in sample}:
-        own = [r for r in sample if (r["label"], len(r["raw"])) == place]
-        by[place] = np.array([r["id"] for r in own]), _unit([bytes(r["raw"]) for r in own], np.float64)
+def _sample(known: DataFrame) -> tuple[list, int]:
+    """id, label, raw, whole (the sample is all of the label) of nodes by hash; and the number of labels. Dimensions count as labels apart."""
+    sizes = known.groupBy("label", F.length("raw").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(sizes.withColumn("wanted", F.least(F.col("n"), AUDIT * F.sqrt(F.greatest(F.lit(1.0), F.col("n") / USUAL)))))
+    total, n_labels = sizes.agg(F.sum("wanted"), F.count(F.lit(1))).first()
+    share = F.col("wanted") / F.col("n") * min(1.0, MOST_AUDITED / (total or 1))
+    chance = F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 30)) / (1 << 30)
+    return known.withColumn("size", F.length("raw")).join(sizes, ["label", "size"]).where(chance < share).select("id", "label", "raw", (share >= 1).alias("whole")).collect(), n_labels
+
+
+def _audit(known: DataFrame, candidates: DataFrame, sample: list, threshold: float) -> DataFrame:
+    """id (of the sample), links and hits (those within its candidate class) by brute force in parts to be summed; missed: for each class that it should have been one with, a node of that (null in rows of counts)."""
+    ids = known.sparkSession.createDataFrame([(r["id"],) for r in sample], "node bigint")
+    place = {r["node"]: r["component"] for r in candidates.join(F.broadcast(ids), "node").collect()}
+    by: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    groups: dict[tuple[int, int], list] = {}
+    for r in sample:
+        groups.setdefault((r["label"], len(r["raw"])), []).append(r)
+    for at, own in groups.items():
+        by[at] = np.array([r["id"] for r in own]), np.array([place.get(r["id"], r["id"]) for r in own]), _unit([bytes(r["raw"]) for r in own], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, labels, places = (batch.column(i).to_numpy() for i in (0, 1, 3))
             data = batch.column(2).to_pylist()
             length = np.array([len(d) for d in data])
-            a, b = [], []
-            for (label, size_), (queries, x) in by.items():
-                here = np.flatnonzero((labels == label) & (length == size_))
-                if len(here):
-                    row, column = np.nonzero(_unit([data[i] for i in here], np.float64) @ x.T >= threshold)
-                    good = ids[here[row]] != queries[column]
-                    a.append(queries[column][good])
-                    b.append(ids[here[row]][good])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else np.zeros(0, np.int64), pa.int64()), pa.array(np.concatenate(b) if b else np.zeros(0, np.int64), pa.int64())], ["a", "b"])
-
-    return known.select("id", "label", "raw").mapInArrow(run, "a bigint, b bigint")
+            out: list[list] = [[], [], [], []]
+            for label, size in {*zip(labels.tolist(), length.tolist(), strict=True)} & by.keys():
+                queries, own, x = by[label, size]
+                here = np.flatnonzero((labels == label) & (length == size))
+                link = (_unit([data[i] for i in here], np.float64) @ x.T >= threshold) & (ids[here][:, None] != queries)
+                same = places[here][:, None] == own
+                n, hit = link.sum(0), (link & same).sum(0)
+                some = np.flatnonzero(n)
+                row, column = np.nonzero(link & ~same)
+                _, first = np.unique(np.stack([column, places[here[row]]], 1), axis=0, return_index=True)
+                for k, (counted, missed) in enumerate(((queries[some], queries[column[first]]), (n[some], [0] * len(first)), (hit[some], [0] * len(first)), ([None] * len(some), ids[here[row[first]]]))):
+                    out[k] += [*counted, *missed]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "links", "hits", "missed"])
+
+    placed = known.select("id", "label", "raw").join(candidates.withColumnsRenamed({"node": "id"}), "id", "left")
+    return placed.select("id", "label", "raw", F.coalesce("component", "id").alias("place")).mapInArrow(run, "id bigint, links bigint, hits bigint, missed bigint")
+
+
+def _recall(counts: list[tuple[int, int]]) -> float:
+    """Mean over nodes of the share of links hit; of nodes with very many links and of the others, the smaller."""
+    share = lambda some: float(np.mean([hit / n for n, hit in some])) if some else 1.0
+    return min(share([c for c in counts if c[0] > LONGEST]), share([c for c in counts if c[0] <= LONGEST]))
+
+
+def _judged(sample: list, n_labels: int, counts: dict[int, tuple[int, int]]) -> tuple[set, set, bool, float]:
+    """Labels (with the length of a vector) whose recall is good and bad by their own sample, whether the others are good, and the least recall."""
+    own: dict[tuple[int, int], list] = {}
+    whole = set()
+    for r in sample:
+        at = r["label"], len(r["raw"])
+        if r["whole"]:
+            whole.add(at)  # all links were seen, and are kept
+        linked = own.setdefault(at, [])
+        if r["id"] in counts:
+            linked.append(counts[r["id"]])
+    single = {at: _recall(c) for at, c in own.items() if at not in whole and len(c) >= LEAST_LINKED}
+    good = whole | {at for at, r in single.items() if r >= RECALL}
+    pool = [c for at, some in own.items() if at not in whole and at not in single for c in some]
+    rest = n_labels > len(whole) + len(single)
+    # without links to tell by, nothing is known
+    pooled = (_recall(pool) if len(pool) >= LEAST_LINKED else 0.0) if rest else 1.0
+    return good, single.keys() - good, pooled >= RECALL, min([pooled, *single.values()])
 
 
 def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> tuple[DataFrame, list[float]]:
-    """key, n_links, component_id, kept, one row for each row; and the audited recall of each try."""
+    """key, n_links, component_id, kept, one row for each row; and the least audited recall of each try, at last 1 if what fell short was compared in full."""
     spark = rows.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     floor = threshold - SLACK
     known = cut(nodes(rows, key, vector, label))
-    truth = cut(_audit(known, AUDIT, threshold))
-    pairs, recalls, start = None, [], 0
+    pairs, recalls, start, open_ = None, [], 0, known
     for attempt in range(TRIES):
+        largest = open_.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+        more = max(0, int(np.ceil(np.log2(largest / USUAL))))
         found = None
-        for table in range(start, start + TABLES):
-            one = _start(known, table, floor, parts)
+        for table in range(start, start + TABLES * (1 + more)):
+            one = _start(open_, table, floor, parts, min(BITS + more, 40))
             found = one if found is None else found.unionByName(one)
-        start += TABLES
-        _, seen = _descend(known, cut(found), floor, parts, attempt)
+        start += TABLES * (1 + more)
+        _, seen = _descend(open_, cut(found), floor, parts, attempt)
         pairs = seen if pairs is None else cut(pairs.unionByName(seen).distinct())
         candidates = cut(components(pairs))
-        ends = lambda side: candidates.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-        total, hit = truth.join(ends("a"), "a", "left").join(ends("b"), "b", "left").agg(F.count(F.lit(1)), F.count_if(F.col("of_a") == F.col("of_b"))).first()
-        recalls.append(hit / total if total else 1.0)
-        if recalls[-1] >= RECALL:
+        sample, n_labels = _sample(open_)
+        truth = cut(_audit(open_, candidates, sample, threshold))
+        pairs = pairs.unionByName(truth.where("missed IS NOT NULL").select(F.col("id").alias("a"), F.col("missed").alias("b")))
+        counts = {r["id"]: (r["n"], r["hit"]) for r in truth.groupBy("id").agg(F.sum("links").alias("n"), F.sum("hits").alias("hit")).where("n > 0").collect()}
+        good, bad, others, recall = _judged(sample, n_labels, counts)
+        recalls.append(recall)
+        if not bad and others:
+            open_ = None
             break
-    candidates = cut(components(pairs.unionByName(truth)))
+        listed = spark.createDataFrame(sorted(bad if others else good), "label bigint, size int")
+        open_ = cut(open_.withColumn("size", F.length("raw")).join(F.broadcast(listed), ["label", "size"], "left_semi" if others else "left_anti").select(known.columns))
+    candidates = cut(components(pairs))
+    if open_ is not None:
+        # one class of each label
+        least = open_.groupBy("label", F.length("raw").alias("size")).agg(F.min("id").alias("component"))
+        of_label = cut(open_.select(F.col("id").alias("node"), "label", F.length("raw").alias("size")).join(least, ["label", "size"]).select("node", "component"))
+        candidates = cut(candidates.join(of_label.select("node"), "node", "left_anti").unionByName(of_label))
+        recalls.append(1.0)
     exact = cut(_exact(known, candidates, threshold))
     linked = cut(components(exact.select("a", "b")))
     counts = exact.where("id IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"))

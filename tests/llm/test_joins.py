@@ -183,6 +183,29 @@ def test_nn_descent_finds_all_links(spark, monkeypatch, block):
     assert got == {rows[n][0]: (links, c, c == rows[n][0]) for n, (links, c) in want.items()}
 
 
+@pytest.mark.parametrize("lost", ["isolated pairs", "everything"])
+def test_what_descent_misses_is_compared_in_full(spark, monkeypatch, lost):
+    """A hot class has nearly all links, so a recall by links doesn't show that the pairs besides it are lost."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    rows = [(i, centre + rng.standard_normal(64) * 0.05, 1) for i in range(110)]
+    for i in range(110, 230, 2):
+        v = rng.standard_normal(64)
+        rows += [(i, v, 1), (i + 1, v + rng.standard_normal(64) * 0.1, 1)]
+    rows = [(i, [float(np.float32(x)) for x in v], label) for i, v, label in rows]
+    descend = embed_dedup._descend
+
+    def lossy(*args):
+        lists, seen = descend(*args)
+        return lists, seen.where("a < 110 AND b < 110" if lost == "isolated pairs" else "false")
+
+    monkeypatch.setattr(embed_dedup, "_descend", lossy)
+    monkeypatch.setattr(embed_dedup, "TRIES", 1)
+    found, recalls = embed_dedup.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    assert got == {rows[n][0]: x for n, x in plain_links(rows).items()} and recalls == [0.0, 1.0]
+
+
 def test_nn_descent_of_nothing_and_of_null_ids(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert embed_dedup.search(spark.createDataFrame([], schema))[0].count() == 0
