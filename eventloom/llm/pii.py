@@ -144,6 +144,7 @@ _SPOKEN_DOT = re.compile(r"(?i)(?<=[a-z0-9])\s+dot\s+(?=[a-z0-9])")
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])\s+dot\s+(?=[0-9])")
 # what matches another letter when case is ignored, but isn't lowered to it
 _SAME = str.maketrans("ſıİ", "sii")
+_HOST_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
 _WORD_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 
 
@@ -174,7 +175,7 @@ class Transducer:
         self._again(lambda m: self._of_words(m), _STEP)
         self._again(lambda m: [(".", m.start(), m.end())], _NUMBER_DOT)
         if "@" in self.text:
-            self._again(lambda m: [(".", m.start(), m.end())], _SPOKEN_DOT, only_after="@")
+            self._again(lambda m: [(".", m.start(), m.end())], _SPOKEN_DOT, in_address=True)
 
     @staticmethod
     def _of_words(match: re.Match) -> list[tuple[str, int, int]]:
@@ -189,8 +190,9 @@ class Transducer:
             return [(DIGITS[m.group().translate(_SAME).lower()], match.start() + m.start(), match.start() + m.end()) for m in _NAME.finditer(match.group())]
         return []
 
-    def _again(self, rewrite, pattern: re.Pattern, only_after: str = "") -> None:
+    def _again(self, rewrite, pattern: re.Pattern, in_address: bool = False) -> None:
         out, begins, ends, changed, done, size = [], [], [], set(), 0, 0
+        reached, inside = 0, False
 
         def copy(low: int, high: int) -> None:
             nonlocal size
@@ -201,8 +203,15 @@ class Transducer:
             size += high - low
 
         for match in pattern.finditer(self.text):
-            if only_after and only_after not in self.text[max(0, match.start() - 80) : match.start()]:
-                continue
+            if in_address:
+                # back over the host to its @, or to a dot that was itself rewritten
+                at = match.start()
+                while at > reached and self.text[at - 1] in _HOST_CHARACTERS:
+                    at -= 1
+                if not (at == reached and inside or at > 0 and self.text[at - 1] == "@"):
+                    reached, inside = match.end(), False
+                    continue
+                reached, inside = match.end(), True
             new = rewrite(match)
             if not new:
                 continue

@@ -146,6 +146,8 @@ def test_disguises_map_back(text, found):
         ("mail bob at example.com.", [("email", "bob at example.com")]),
         ("visit us at example.com or come at 10.am, we met at home.Then we left", []),
         ("version 3 dot 5 of it", []),
+        (f"to a@{'x' * 90} dot example dot {'y' * 90} dot com.", [("email", f"a@{'x' * 90} dot example dot {'y' * 90} dot com")]),
+        ("a@b.co and then foo dot bar", [("email", "a@b.co")]),
         ("the dot on the i", []),
     ],
 )
