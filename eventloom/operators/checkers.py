@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a side up to which it is broadcast.
+MOST_WINDOWS, MOST_SHARDS = 10_000, 100_000
+
 
 def duplicate_acks(ops: DataFrame) -> DataFrame:
     return ops.where("outcome = 'ok'").groupBy("aggregate_id", "client_id", "client_seq").agg(F.count(F.lit(1)).alias("acks")).where("acks > 1")
@@ -74,7 +77,17 @@ def trim_breach(ops: DataFrame, finals: DataFrame) -> DataFrame:
 def ryw(probes: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Probes for which two nodes or more answered and all saw less than acknowledged; probes inside excluded windows (low, high) are left out."""
     if excluded is not None:
-        probes = probes.join(F.broadcast(excluded.limit(10_000)), (F.col("t_ns") >= F.col("low")) & (F.col("t_ns") <= F.col("high")), "left_anti")
+        inside = (F.col("t_ns") >= F.col("low")) & (F.col("t_ns") <= F.col("high"))
+        if excluded.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS:
+            probes = probes.join(F.broadcast(excluded), inside, "left_anti")
+        else:
+            # by cells of time as wide as a window's length rounded up to a power of two, of which a window touches two at most
+            bits = F.least(F.length(F.bin(F.col("high") - F.col("low"))), F.lit(63)).alias("bits")
+            windows = excluded.where("low <= high").select("low", "high", bits).withColumn("cell", F.expr("explode(array_distinct(array(shiftright(low, bits), shiftright(high, bits))))"))
+            levels = [r["bits"] for r in windows.select("bits").distinct().collect()]
+            times = probes.select("t_ns").distinct().withColumn("bits", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("cell", F.expr("shiftright(t_ns, bits)"))
+            of_probe = times.join(windows.withColumnsRenamed({"bits": "of", "cell": "at"}), (F.col("bits") == F.col("of")) & (F.col("cell") == F.col("at")) & inside, "left_semi")
+            probes = probes.join(of_probe.select("t_ns").distinct(), "t_ns", "left_anti")
     seen = F.col("observed_version").isNotNull()
     return probes.groupBy("probe_id").agg(
         F.count_distinct(F.when(seen, F.col("node"))).alias("nodes"), F.bool_and(F.when(seen, F.col("observed_version") < F.col("acked_version"))).alias("stale")
@@ -112,7 +125,9 @@ def contiguous(wal: DataFrame) -> DataFrame:
     """Rows (but a shard's first) with no row just before them."""
     first = wal.groupBy("shard_id").agg(F.min("wal_seq").alias("first"))
     before = wal.select("shard_id", (F.col("wal_seq") + 1).alias("wal_seq"))
-    return wal.select("shard_id", "wal_seq").join(F.broadcast(first.limit(100_000)), "shard_id").where("wal_seq > first").join(before, ["shard_id", "wal_seq"], "left_anti").select("shard_id", "wal_seq")
+    if first.limit(MOST_SHARDS + 1).count() <= MOST_SHARDS:
+        first = F.broadcast(first)
+    return wal.select("shard_id", "wal_seq").join(first, "shard_id").where("wal_seq > first").join(before, ["shard_id", "wal_seq"], "left_anti").select("shard_id", "wal_seq")
 
 
 def tip_fork(ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import scalars, schemas
-from eventloom.operators import chain, compact, errors, listing, read, write
+from eventloom.operators import chain, checkers, compact, errors, listing, read, write
 from eventloom.operators.read import ReadFilters
 from eventloom.plans import model
 from eventloom.sources.store import CommitConflict, Store, read_history, write_history
@@ -220,3 +220,20 @@ def test_entry_imports_without_the_training_data_package():
 
     code = "import sys; sys.modules['eventloom.llm'] = None; import __spark_entry__ as e; assert e.llm_queries is None and len(e.queries()) > 100 and 'pipeline' not in e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
+
+
+def test_checkers_beyond_what_is_broadcast(spark, monkeypatch):
+    """Bounds of broadcast sides change the way of the join, not its result."""
+    probes = [(i, n, t, 1, 2) for i, t in enumerate((-9, -1, 0, 5, 6, 9, 10, 100, 163, 164, 10**15)) for n in (1, 2)]
+    probes = spark.createDataFrame(probes, "probe_id bigint, node bigint, t_ns bigint, observed_version bigint, acked_version bigint")
+    windows = spark.createDataFrame([(5, 5), (-3, -1), (9, 8), (10, 163), (7, 9), (-(2**62), -5), (2 * 10**14, 2**62)], "low bigint, high bigint")
+    wal = spark.createDataFrame([(s, q) for s in range(4) for q in (s, s + 1, s + 3)], "shard_id bigint, wal_seq bigint")
+    for bound in (100, 2):
+        monkeypatch.setattr(checkers, "MOST_WINDOWS", bound, raising=False)
+        monkeypatch.setattr(checkers, "MOST_SHARDS", bound, raising=False)
+        assert sorted(r["probe_id"] for r in checkers.ryw(probes, windows).collect()) == [2, 4, 9]
+        assert sorted(tuple(r) for r in checkers.contiguous(wal).collect()) == [(s, s + 3) for s in range(4)]
+    many = spark.range(10_050).select((F.col("id") * 4 + 200).alias("low"), (F.col("id") * 4 + 201).alias("high"))
+    monkeypatch.undo()
+    late = spark.createDataFrame([(1, n, t, 1, 2) for n, t in ((1, 40_396), (2, 40_397))] + [(2, n, 40_398, 1, 2) for n in (1, 2)], probes.schema)
+    assert [r["probe_id"] for r in checkers.ryw(late, many).collect()] == [2]
