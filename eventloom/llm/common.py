@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from eventloom.sources.shipping import ship
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests); on a cluster that would not be shared, so it fails."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if configured:
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
     return sc.getCheckpointDir()
 
@@ -37,10 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
 
     Parquet rather than checkpoint(): it is columnar, compressed, and read with column pruning.
     """
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -49,6 +56,40 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Intermediate tables of one operator: cut() writes one, and all are deleted when the operator is done with them.
+
+    What the operator returns must not read them: it is cut() by the function of the module, which keeps it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths.append(path)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that none of the columns has (case doesn't tell names apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,5 +142,25 @@ def runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]
         yield _one(held)
 
 
+def whole(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first `by` columns (bigints without nulls), cut anew so that no key spans two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(by)], 1)
+        last = int(n - 1 - np.argmax((keys[::-1] != keys[-1]).any(1))) if (keys != keys[-1]).any() else -1
+        if last >= 0:  # the last row of another key than the last
+            yield _one([*held, batch.slice(0, last + 1)])
+            held = []
+        elif held and any(held[-1].column(i)[-1].as_py() != keys[0][i] for i in range(by)):
+            yield _one(held)
+            held = []
+        held.append(batch.slice(last + 1))
+    if held:
+        yield _one(held)
+
+
 def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.concat_batches(parts)

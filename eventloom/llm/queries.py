@@ -60,8 +60,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = embed_dedup.search(table(spark, sf_dir, "embeddings"))
-    return found
+    """audited_recall: the least recall that the last audit measured, 1 where it was replaced by comparison in full."""
+    found, recalls = embed_dedup.search(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("audited_recall", F.lit(recalls[-1]).cast("double"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
