@@ -65,3 +65,23 @@ def signed(event_type: Column, amount: Column, signs: dict[int, int]) -> Column:
     """What an event adds to a balance; unknown types and null amounts nothing."""
     out = F.coalesce(*[F.when(event_type == k, amount * v) for k, v in signs.items()], F.lit(0))
     return F.coalesce(out, F.lit(0)).cast("long")
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The deterministic id of a name: version 5 of the namespace (hex with or without hyphens)."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name.cast("string"), "utf-8")))
+    variant = F.substring(F.lit("89ab"), F.pmod(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int"), F.lit(4)) + F.lit(1), F.lit(1))
+    part = lambda low, n: F.substring(digest, low, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def hyphened(hex_id: Column) -> Column:
+    """32 hex digits as the text of a UUID."""
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat_ws("-", *[F.substring(hex_id, low, n) for low, n in cuts])
+
+
+def since_epoch(time: Column, precision: str = "ms", offset_seconds: int = 0) -> Column:
+    """Whole ms, us or ns of a timestamp since an epoch that is offset_seconds after 1970."""
+    micros = F.unix_micros(time.cast("timestamp")) - offset_seconds * 1_000_000
+    return F.floor(micros / 1000).cast("long") if precision == "ms" else micros if precision == "us" else micros * 1000

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import errors
 
-LONGEST = 16_384
+LONGEST, MOST_SCHEMAS = 16_384, 500
 _KEY = ("org_id", "aggregate_type_id", "event_type_major", "event_type_minor")
 
 
@@ -54,12 +54,11 @@ def valid_json(payload: Column, schema: str) -> Column:
 
 
 def register(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """New schemas with the code of each: 2020 for a key that is there or came before, else 0."""
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy(*_KEY).orderBy("wal_seq"))
+    """New schemas with the code of each: 2020 for a key that is there or came before, else 0. The first of each key is a minimum, aggregated before it is shuffled."""
+    first = new.groupBy(*_KEY).agg(F.min("wal_seq").alias("__first"))
     known = registry.select(*_KEY).distinct().withColumn("__known", F.lit(True))
-    return new.withColumn("__first", first).join(known, list(_KEY), "left").withColumn("code", F.when(F.col("__known") | (F.col("__first") > 1), errors.SCHEMA_EXISTS).otherwise(0)).drop("__known", "__first")
+    taken = first.join(known, list(_KEY), "left")
+    return new.join(taken, list(_KEY)).withColumn("code", F.when(F.col("__known") | (F.col("wal_seq") > F.col("__first")), errors.SCHEMA_EXISTS).otherwise(0)).drop("__known", "__first")
 
 
 def lookup(events: DataFrame, registry: DataFrame) -> DataFrame:
@@ -74,3 +73,18 @@ def validate(events: DataFrame, schemas: dict[tuple[int, int, int, int], str], p
         same = reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(_KEY, key, strict=True)])
         out = F.when(same, valid_json(F.col(payload), schema)).otherwise(out)
     return events.withColumn("valid", out)
+
+
+def validate_all(events: DataFrame, registry: DataFrame, payload: str = "props") -> DataFrame:
+    """events with `valid` by the registered schema of their key, true where there is none.
+
+    The registry is joined; each distinct text of a schema becomes one compiled expression, so a registry of many keys with few schemas costs no more than these.
+    """
+    texts = [r["schema"] for r in registry.select("schema").where("schema IS NOT NULL").distinct().orderBy("schema").limit(MOST_SCHEMAS + 1).collect()]
+    if len(texts) > MOST_SCHEMAS:
+        raise ValueError(f"more than {MOST_SCHEMAS} different schemas at once")
+    out = F.lit(True)
+    for text in texts:
+        out = F.when(F.col("__schema") == text, valid_json(F.col(payload), text)).otherwise(out)
+    found = events.join(registry.select(*_KEY, F.col("schema").alias("__schema")), list(_KEY), "left")
+    return found.withColumn("valid", F.when(F.col("__schema").isNull(), F.lit(True)).otherwise(out)).drop("__schema")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.scalars import normalised
+from eventloom.plans.model import running
+
 #: Rows of a side up to which it is broadcast.
 MOST_WINDOWS, MOST_SHARDS = 10_000, 100_000
+#: Ticks that one window takes.
+STRETCH = 1000
+#: Violations of a kind that a report shows; file descriptors and memory (KB) that a node may have more after a run than before, or at all.
+SHOWN, MORE_FILES, MOST_MEMORY_KB = 10, 64, 6 << 20
 
 
 def duplicate_acks(ops: DataFrame) -> DataFrame:
@@ -30,30 +34,13 @@ def seq_gaps(ops: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def idempotency(ops: DataFrame) -> DataFrame:
-    """Replay rejections without a reason: no acknowledged, undecided or rightly rejected operation of the client has a sequence as high before it.
+    """Replay rejections without a reason: no acknowledged or undecided operation of the client has a sequence as high before it.
 
-    The running maximum takes in rejections only where they are legal, so it is a fold in the order of each
-    (aggregate, client), streamed through sorted partitions.
+    A rejection that is right is of a sequence below the maximum, so it never raises it: a running maximum over the others is the whole fold.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, high = None, 0
-        for frame in frames:
-            bad = []
-            for row in frame.itertuples(index=False):
-                if (row.aggregate_id, row.client_id) != key:
-                    key, high = (row.aggregate_id, row.client_id), 0
-                if row.outcome == "fail" and row.error == 2002:
-                    legal = row.client_seq <= high
-                    bad.append(not legal)
-                else:
-                    bad.append(False)
-                    if row.outcome in ("ok", "info"):
-                        high = max(high, row.client_seq)
-            yield frame[bad][["aggregate_id", "client_id", "client_seq", "op_id"]]
-
-    rows = ops.select("aggregate_id", "client_id", "client_seq", "op_id", "outcome", F.coalesce("error", F.lit(0)).alias("error"))
-    return rows.repartition("aggregate_id", "client_id").sortWithinPartitions("aggregate_id", "client_id", "op_id").mapInPandas(run, "aggregate_id bigint, client_id bigint, client_seq bigint, op_id bigint")
+    before = Window.partitionBy("aggregate_id", "client_id").orderBy("op_id").rowsBetween(Window.unboundedPreceding, -1)
+    high = F.coalesce(F.max(F.when(F.col("outcome").isin("ok", "info"), F.col("client_seq"))).over(before), F.lit(0))
+    return ops.withColumn("__high", high).where((F.col("outcome") == "fail") & (F.col("error") == 2002) & (F.col("client_seq") > F.col("__high"))).select("aggregate_id", "client_id", "client_seq", "op_id")
 
 
 def wal_monotonicity(ops: DataFrame, finals: DataFrame) -> DataFrame:
@@ -162,7 +149,7 @@ def distinct_leaders(samples: DataFrame) -> DataFrame:
 def longest_gap(samples: DataFrame) -> DataFrame:
     """The longest run of ticks without a leader; ticks at which a host didn't answer neither open nor close one."""
     ticks = samples.groupBy("tick").agg(F.bool_and("ok").alias("ok"), F.max("role").alias("led"), F.min("t_ms").alias("t_ms")).where("ok")
-    islands = ticks.withColumn("island", F.sum("led").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))  # one row a tick
+    islands = running(ticks, "island", F.col("led"), [], F.floor(F.col("tick") / STRETCH), [F.col("tick")])
     return islands.where("led = 0").groupBy("island").agg((F.max("t_ms") - F.min("t_ms")).alias("ms")).agg(F.coalesce(F.max("ms"), F.lit(0)).alias("longest_ms"))
 
 
@@ -175,12 +162,21 @@ def convergence(samples: DataFrame, recent_ms: int = 36_000_000) -> DataFrame:
     return hosts.agg(F.min("last").alias("low"), F.max("last").alias("high"), F.min_by("advanced", F.struct("last", "host")).alias("advanced")).select("low", "high", ((F.col("low") == F.col("high")) | F.col("advanced")).alias("converged"))
 
 
+def _stretched(rows: DataFrame, name: str, inside, of_stretch, across) -> DataFrame:
+    """rows (tick, ...) with a column that depends on all earlier ticks: `inside` over the rows of a stretch of ticks, and, where that isn't enough, `across` over what `of_stretch` makes of each stretch."""
+    rows = rows.withColumn("__stretch", F.floor(F.col("tick") / STRETCH))
+    whole = rows.groupBy("__stretch").agg(of_stretch.alias("__of"))
+    whole = whole.select("__stretch", across(Window.orderBy("__stretch")).alias("__earlier"))  # one row for STRETCH ticks
+    return rows.withColumn("__inside", inside(Window.partitionBy("__stretch").orderBy("tick"))).join(whole, "__stretch").withColumn(name, F.struct("__inside", "__earlier")).drop("__stretch", "__inside", "__earlier")
+
+
 def never_ahead(samples: DataFrame) -> DataFrame:
     """Ticks at which the follower reads above all that the leader has read so far, twice running."""
     pairs = samples.where("ok").groupBy("tick").agg(F.max(F.when(F.col("role") == 1, F.col("read_seq"))).alias("leader"), F.max(F.when(F.col("role") == 0, F.col("read_seq"))).alias("follower"))
-    order = Window.orderBy("tick")  # one row a tick
-    rows = pairs.withColumn("high", F.max("leader").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("ahead", F.coalesce(F.col("follower") > F.col("high"), F.lit(False)))
-    return rows.withColumn("before", F.lag("ahead").over(order)).where("ahead AND before").select("tick", "follower", "high")
+    rows = _stretched(pairs, "x", lambda w: F.max("leader").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max("leader"), lambda w: F.max("__of").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("high", F.greatest("x.__inside", "x.__earlier")).drop("x").withColumn("ahead", F.coalesce(F.col("follower") > F.col("high"), F.lit(False)))
+    rows = _stretched(rows, "x", lambda w: F.lag("ahead").over(w), F.max_by("ahead", "tick"), lambda w: F.lag("__of").over(w))
+    return rows.where("ahead AND coalesce(x.__inside, x.__earlier, false)").select("tick", "follower", "high")
 
 
 def read_within_write(samples: DataFrame) -> DataFrame:
@@ -199,9 +195,15 @@ def median_tick(samples: DataFrame) -> DataFrame:
 
 
 def disk_truth(acked: DataFrame, present: DataFrame) -> DataFrame:
-    """key, seq: sequences from 1 to the key's highest acknowledged one that no node has."""
-    wanted = acked.select("aggregate_id", F.explode(F.sequence(F.lit(1).cast("long"), "acked")).alias("seq"))
-    return wanted.join(present.select("aggregate_id", "seq").distinct(), ["aggregate_id", "seq"], "left_anti")
+    """aggregate_id, seq: sequences from 1 to the aggregate's highest acknowledged one that no node has.
+
+    Only gaps between sequences that are there are written out, so what is there isn't made again.
+    """
+    there = present.select("aggregate_id", "seq").distinct().join(acked, "aggregate_id").where("seq BETWEEN 1 AND acked")
+    before = F.coalesce(F.lag("seq").over(Window.partitionBy("aggregate_id").orderBy("seq")), F.lit(0))
+    inside = there.select("aggregate_id", (before + 1).alias("low"), (F.col("seq") - 1).alias("high"))
+    last = acked.join(there.groupBy("aggregate_id").agg(F.max("seq").alias("last")), "aggregate_id", "left").select("aggregate_id", (F.coalesce("last", F.lit(0)) + 1).alias("low"), F.col("acked").alias("high"))
+    return inside.unionByName(last).where("low <= high").select("aggregate_id", F.explode(F.sequence("low", "high")).alias("seq"))
 
 
 def several_versions(present: DataFrame) -> DataFrame:
@@ -216,6 +218,76 @@ def range_gaps(ranges: DataFrame) -> DataFrame:
 
 
 def error_storm(lines: DataFrame, most: int) -> DataFrame:
-    from eventloom.functions.scalars import normalised
-
     return lines.where(F.col("line").contains("ERROR")).groupBy(normalised(F.col("line")).alias("line")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def marked_lines(lines: DataFrame, markers: tuple[str, ...]) -> DataFrame:
+    """Lines that hold one of the markers, and the first of them in their order."""
+    marker = F.coalesce(*[F.when(F.col("line").contains(m), F.lit(m)) for m in markers])
+    return lines.withColumn("marker", marker).where("marker IS NOT NULL")
+
+
+def shown(violations: DataFrame, kind: str, *order: str, most: int = SHOWN) -> DataFrame:
+    """The first violations of each kind, and how many there are."""
+    counts = violations.groupBy(kind).agg(F.count(F.lit(1)).alias("violations"))
+    first = violations.withColumn("__rank", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("__rank") <= most).drop("__rank")
+    return first.join(counts, kind)
+
+
+def role_flips(samples: DataFrame) -> DataFrame:
+    """How often each host's role changed, over the ticks at which all hosts answered."""
+    good = samples.groupBy("tick").agg(F.bool_and("ok").alias("__all")).where("__all").select("tick")
+    before = F.lag("role").over(Window.partitionBy("host").orderBy("tick"))
+    rows = samples.join(good, "tick").withColumn("__before", before)
+    return rows.groupBy("host").agg(F.count(F.when(F.col("__before") != F.col("role"), 1)).alias("flips"))
+
+
+def final_leader_wrote(samples: DataFrame, until_ms: int | None = None, counter: str = "write_seq") -> DataFrame:
+    """The host that led last; its counter when it first led since it was last started anew (since the counter fell), and at its last answer before the load ended; whether that advanced.
+    A host that came to lead only after the load had ended passes."""
+    good = samples.where("ok")
+    until = F.lit(until_ms if until_ms is not None else (1 << 62))
+    leader = good.where("role = 1").agg(F.max_by("host", F.struct("t_ms", "host")).alias("host"))
+    own = good.join(leader, "host")
+    fell = F.col(counter) < F.lag(counter).over(Window.partitionBy("host").orderBy("t_ms"))
+    own = own.withColumn("__fell", F.coalesce(fell, F.lit(False)))
+    start = own.groupBy("host").agg(F.coalesce(F.max(F.when(F.col("__fell"), F.col("t_ms"))), F.min("t_ms")).alias("__start"))
+    facts = own.join(start, "host").groupBy("host").agg(
+        F.min_by(F.struct(F.col(counter).alias("n"), "t_ms"), F.when((F.col("role") == 1) & (F.col("t_ms") >= F.col("__start")), F.col("t_ms"))).alias("first"),
+        F.max_by(counter, F.when(F.col("t_ms") <= until, F.col("t_ms"))).alias("last"),
+    )
+    late = F.col("first.t_ms") > until
+    return facts.select("host", F.col("first.n").alias("first_count"), F.col("last").alias("last_count"), F.coalesce(late | (F.col("last") > F.col("first.n")), F.lit(False)).alias("wrote"))
+
+
+def wal_advanced(samples: DataFrame) -> DataFrame:
+    """The leader's sequence at the first and last tick at which one answered, and whether it advanced."""
+    leads = samples.where("ok AND role = 1")
+    ends = leads.agg(F.min_by("write_seq", F.struct("t_ms", "host")).alias("first"), F.max_by("write_seq", F.struct("t_ms", "host")).alias("last"))
+    return ends.withColumn("advanced", F.coalesce(F.col("last") > F.col("first"), F.lit(False)))
+
+
+def throughput_floor(ops: DataFrame, least: int) -> DataFrame:
+    """Operations done and the time they took (ms), and whether that is at least `least` a second."""
+    facts = ops.agg(F.count(F.when(F.col("outcome") == "ok", 1)).alias("done"), (F.max("t_end") - F.min("t_start")).alias("ms"))
+    return facts.withColumn("enough", F.coalesce(F.col("done") * 1000 >= F.col("ms") * least, F.lit(False)))
+
+
+def error_budget(ops: DataFrame, most: int, per_thousand: int) -> DataFrame:
+    """Errors, and whether they are at most `most` or that share of all attempts (errors and completed operations)."""
+    facts = ops.agg(F.count(F.when(F.col("outcome") != "ok", 1)).alias("errors"), F.count(F.when(F.col("outcome") == "ok", 1)).alias("done"))
+    allowed = F.greatest(F.lit(most).cast("long"), F.floor((F.col("errors") + F.col("done")) * per_thousand / 1000))
+    return facts.withColumn("allowed", allowed).withColumn("bounded", F.col("errors") <= F.col("allowed"))
+
+
+def resources(before: DataFrame, after: DataFrame) -> DataFrame:
+    """node, files_ok, memory_ok from snapshots (node, files, memory_kb): files may grow by MORE_FILES, memory up to MOST_MEMORY_KB or what it was. A node without a later snapshot fails."""
+    late = after.select("node", F.col("files").alias("__files"), F.col("memory_kb").alias("__memory"))
+    rows = before.join(late, "node", "left")
+    no = F.lit(False)
+    return rows.select("node", F.coalesce(F.col("__files") <= F.col("files") + MORE_FILES, no).alias("files_ok"), F.coalesce(F.col("__memory") <= F.greatest(F.lit(MOST_MEMORY_KB), F.col("memory_kb")), no).alias("memory_ok"))
+
+
+def altered(rows: DataFrame, content: str, checksum: str) -> DataFrame:
+    """Rows whose content doesn't have their checksum."""
+    return rows.where(~F.col(checksum).eqNullSafe(F.crc32(F.col(content))))

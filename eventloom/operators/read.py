@@ -93,13 +93,43 @@ def visible(wal: DataFrame, manifest: DataFrame) -> DataFrame:
     return wal.join(F.broadcast(manifest.select("shard_id", "visible_seq")), "shard_id").where("wal_seq <= visible_seq").drop("visible_seq")
 
 
-def of_aggregate(wal: DataFrame, aggregate_id: int) -> DataFrame:
+def of_aggregate(wal: DataFrame, aggregate_id: int, shards: int = SHARDS) -> DataFrame:
     """Rows of one aggregate; the shard's predicate follows from the key, so partitions are pruned."""
-    return wal.where((F.col("shard_id") == aggregate_id % SHARDS) & (F.col("aggregate_id") == aggregate_id))
+    return wal.where((F.col("shard_id") == aggregate_id % shards) & (F.col("aggregate_id") == aggregate_id))
+
+
+def incarnations(wal: DataFrame) -> DataFrame:
+    """aggregate_id, delete_seq (the last), deleted (no batch since), start: where the last incarnation begins (the last delete without continuation that a batch follows, or 0). One row for each aggregate with a delete: few against the log's."""
+    deletes = wal.where("kind = 'soft_delete'").select("aggregate_id", "wal_seq", "allow_continuation")
+    last = wal.where("kind = 'event_batch'").join(deletes.select("aggregate_id").distinct(), "aggregate_id", "left_semi").groupBy("aggregate_id").agg(F.max("wal_seq").alias("last_batch"))
+    fresh = F.when(~F.coalesce("allow_continuation", F.lit(False)) & (F.col("wal_seq") < F.col("last_batch")), F.col("wal_seq"))
+    return deletes.join(last, "aggregate_id", "left").groupBy("aggregate_id").agg(
+        F.max("wal_seq").alias("delete_seq"), (F.coalesce(F.max("last_batch"), F.lit(0)) < F.max("wal_seq")).alias("deleted"), F.coalesce(F.max(fresh), F.lit(0)).alias("start"),
+    )
+
+
+def _since_start(wal: DataFrame) -> DataFrame:
+    """wal without rows of earlier incarnations, and __deleted."""
+    known = incarnations(wal).select("aggregate_id", F.col("start").alias("__start"), F.col("deleted").alias("__deleted"))
+    return wal.join(known, "aggregate_id", "left").where(F.col("wal_seq") > F.coalesce("__start", F.lit(0))).drop("__start")
+
+
+def live(wal: DataFrame) -> DataFrame:
+    """Batches that can be read: none of a deleted aggregate; of one that was made anew, those after the delete; with continuation, those before it too."""
+    return _since_start(wal).where((F.col("kind") == "event_batch") & ~F.coalesce("__deleted", F.lit(False))).select(wal.columns)
 
 
 def read(wal: DataFrame, filters: ReadFilters = ReadFilters()) -> DataFrame:
-    """Event batches with the events that qualify."""
+    """Readable event batches with the events that qualify; the filter on batches is applied before the few deletes are joined."""
+    return _kept(live(wal), filters)
+
+
+def batches(wal: DataFrame, filters: ReadFilters = ReadFilters()) -> DataFrame:
+    """All event batches of the log, dead ones too, with the events that qualify."""
+    return _kept(wal, filters)
+
+
+def _kept(wal: DataFrame, filters: ReadFilters) -> DataFrame:
     rows = wal.where((F.col("kind") == "event_batch") & filters.on_batch())
     if filters.on_event(F.struct(F.lit(0).alias("x"), *[F.lit(0).alias(n) for n in ("client_seq", "event_timestamp", "event_seq", "event_type_major")])) is not None:
         rows = rows.withColumn("events", F.filter("events", filters.on_event)).where(F.size("events") > 0)
@@ -120,12 +150,37 @@ def page(batches: DataFrame, budget: int) -> DataFrame:
 
 
 def floors(wal: DataFrame) -> DataFrame:
-    """aggregate_id, floor: the highest trim of each aggregate that has one."""
-    return wal.where("kind = 'soft_trim'").groupBy("aggregate_id").agg(F.max("keep_from").alias("floor"))
+    """aggregate_id, floor: the highest trim of each aggregate's last incarnation."""
+    start = incarnations(wal).select("aggregate_id", "start")
+    trims = wal.where("kind = 'soft_trim'").join(start, "aggregate_id", "left").where(F.col("wal_seq") > F.coalesce("start", F.lit(0)))
+    return trims.groupBy("aggregate_id").agg(F.max("keep_from").alias("floor"))
+
+
+def above_floor(batches: DataFrame, floor: DataFrame) -> DataFrame:
+    """batches without what is below the floor (aggregate_id, floor) of their aggregate."""
+    return batches.join(floor.select("aggregate_id", F.col("floor").alias("__floor")), "aggregate_id", "left").where(F.col("aggregate_version") >= F.coalesce("__floor", F.lit(0))).select(batches.columns)
+
+
+def latest_trim(wal: DataFrame) -> DataFrame:
+    """aggregate_id, keep_from, wal_seq of the last trim of each aggregate."""
+    return wal.where("kind = 'soft_trim'").groupBy("aggregate_id").agg(F.max_by("keep_from", "wal_seq").alias("keep_from"), F.max("wal_seq").alias("wal_seq"))
+
+
+def recreated(wal: DataFrame, continued: bool) -> DataFrame:
+    """Readable batches of aggregates that were written again after a delete with (or without) continuation."""
+    last = wal.where("kind = 'soft_delete'").groupBy("aggregate_id").agg(F.max_by(F.coalesce("allow_continuation", F.lit(False)), "wal_seq").alias("__continued"))
+    return live(wal).join(last.where(F.col("__continued") == continued).select("aggregate_id"), "aggregate_id", "left_semi")
+
+
+def deletion(wal: DataFrame) -> DataFrame:
+    """aggregate_id, is_deleted, was_deleted of each aggregate with a batch or a delete."""
+    rows = wal.where("kind <> 'soft_trim'")
+    return rows.groupBy("aggregate_id").agg((F.max_by("kind", "wal_seq") == "soft_delete").alias("is_deleted"), F.bool_or(F.col("kind") == "soft_delete").alias("was_deleted"))
 
 
 def state(wal: DataFrame) -> DataFrame:
-    """Latest state of each aggregate: versions, sequences, deletion, floor, last writer."""
+    """Latest state of each aggregate, of its last incarnation: versions, sequences, deletion, floor, last writer."""
+    wal = _since_start(wal)
     batch, delete = F.col("kind") == "event_batch", F.col("kind") == "soft_delete"
     newest = F.max_by(F.struct("client_id", "user_id", "server_timestamp"), F.when(batch, F.col("wal_seq")))
     last = F.max_by(F.struct("kind", "allow_recreate", "allow_continuation"), F.when(batch | delete, F.col("wal_seq")))
@@ -148,12 +203,20 @@ def guarded(wal: DataFrame, aggregate_id: int, filters: ReadFilters = ReadFilter
     details = state(own).first()
     if details is None or details["is_deleted"]:
         raise errors.LogError(errors.NOT_READABLE, f"aggregate {aggregate_id} isn't readable")
-    floor = own.agg(F.max("keep_from")).first()[0] or 0
+    floor = (floors(own).first() or {"floor": 0})["floor"]
     if max(1, filters.from_version) < floor:
         raise errors.UnavailableVersion(filters.from_version, floor)
     return read(own, filters).orderBy("aggregate_version")
 
 
+def answers(wal: DataFrame, from_version: int = 1) -> DataFrame:
+    """aggregate_id, code, floor: what a read of each aggregate from a version answers, as guarded() does for one: 0, or the code of the error."""
+    known = wal.select("aggregate_id").distinct().join(incarnations(wal).select("aggregate_id", "deleted"), "aggregate_id", "left").join(floors(wal), "aggregate_id", "left")
+    floor = F.coalesce("floor", F.lit(0))
+    code = F.when(F.coalesce("deleted", F.lit(False)), errors.NOT_READABLE).when(floor > max(1, from_version), errors.UNAVAILABLE_VERSION).otherwise(0)
+    return known.select("aggregate_id", code.alias("code"), floor.alias("floor"))
+
+
 def details(wal: DataFrame, aggregate_id: int) -> DataFrame:
     """state() of one aggregate, also a deleted one; raises for one that never was."""
     out = state(of_aggregate(wal, aggregate_id))
@@ -179,3 +242,22 @@ def read_all(wal: DataFrame, aggregate_id: int, budget: int):
         else:
             yield got.orderBy("aggregate_version")
             start = cursor[1]
+
+
+def with_payloads(wal: DataFrame, filters: ReadFilters = ReadFilters()) -> DataFrame:
+    """read() in two steps: batches are picked by their metadata alone, then the payloads of those picked are fetched by position. Worth it where few batches of a log with large payloads are wanted."""
+    picked = live(wal.select([c for c in wal.columns if c != "events"])).where(filters.on_batch()).select("shard_id", "log_id", "wal_seq")
+    return _kept(wal.join(picked, ["shard_id", "log_id", "wal_seq"], "left_semi"), filters)
+
+
+def fetched(wal: DataFrame, positions: DataFrame) -> DataFrame:
+    """Rows at the given positions (shard_id, wal_seq), each once."""
+    return wal.join(positions.select("shard_id", "wal_seq").distinct(), ["shard_id", "wal_seq"], "left_semi")
+
+
+def union_recent(recent: DataFrame, stored: DataFrame) -> DataFrame:
+    """Batches of recent writes (in memory) and of the store, one of each aggregate and version; of two, the recent one. Both hold few or equal rows of a version, so they meet by one aggregation."""
+    columns = recent.columns
+    both = recent.withColumn("__old", F.lit(0)).unionByName(stored.select(columns).withColumn("__old", F.lit(1)))
+    rest = [c for c in columns if c not in (*KEY, "aggregate_version")]
+    return both.groupBy(*KEY, "aggregate_version").agg(F.min_by(F.struct(*rest), "__old").alias("__x")).select(*KEY, "aggregate_version", "__x.*").select(columns)

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions import scalars, schemas
 from eventloom.operators import chain, checkers, compact, listing, project, read, write
 from eventloom.operators.read import ReadFilters
 from eventloom.plans import history, model
+from eventloom.sources.shared import shared_dir
 from eventloom.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-M, H = model.SQL, model.SQL + history.SQL
+M, H, L = model.SQL, model.SQL + history.SQL, model.SQL + model.RESTARTED
 
 EVENT = "org_id, aggregate_type_id, aggregate_id, aggregate_version, event_id, event_seq, client_seq, event_timestamp, event_type_major, amount"
 _EVENT = [c.strip() for c in EVENT.split(",")]
@@ -52,8 +52,13 @@ def wal(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def log(spark: SparkSession, d: str) -> DataFrame:
+    """The stored log with versions that begin anew after a delete without continuation."""
+    return model.restarted(wal(spark, d))
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return read.flatten(read.read(wal(spark, d)), (*model.KEY, "aggregate_version", "client_id", "user_id", "wal_seq", "server_timestamp"))
+    return read.flatten(read.batches(wal(spark, d)), (*model.KEY, "aggregate_version", "client_id", "user_id", "wal_seq", "server_timestamp"))
 
 
 def ops(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +70,8 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir), or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventloom-")
-    return f"{root.rstrip('/')}/log-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
 
 
 # scans and inspection
@@ -141,9 +145,10 @@ def inspect_client(s, d):
 # reads
 
 
-@query(f"{M} SELECT {BATCH}, n_events FROM wal WHERE kind = 'event_batch'")
+@query(f"{L} SELECT {BATCH}, n_events FROM live")
 def read_batches(s, d):
-    return read.read(wal(s, d)).select(*_BATCH, F.size("events").cast("long").alias("n_events"))
+    """All that can be read: nothing of deleted aggregates or of earlier incarnations."""
+    return read.read(log(s, d)).select(*_BATCH, F.size("events").cast("long").alias("n_events"))
 
 
 @query(f"{M} SELECT {EVENT} FROM event")
@@ -188,10 +193,10 @@ def classify_outcome(s, d):
 
 
 def _reads(name: str, filters: ReadFilters, on_batch: str, on_event: str = "true") -> None:
-    @query(f"""{M} SELECT {", ".join("e." + c.strip() for c in EVENT.split(","))} FROM event e JOIN wal w ON w.kind = 'event_batch' AND w.aggregate_id = e.aggregate_id AND w.aggregate_version = e.aggregate_version
+    @query(f"""{L} SELECT {", ".join("e." + c.strip() for c in EVENT.split(","))} FROM live_event e JOIN live w ON w.aggregate_id = e.aggregate_id AND w.aggregate_version = e.aggregate_version
 WHERE ({on_batch}) AND ({on_event})""", name)
     def run(s, d):
-        return read.flatten(read.read(wal(s, d), filters)).select(*_EVENT)
+        return read.flatten(read.read(log(s, d), filters)).select(*_EVENT)
 
 
 F0 = ReadFilters()
@@ -208,25 +213,31 @@ _reads("read_event_seq", F0.event_seq(10, 30), "true", "e.event_seq BETWEEN 10 A
 _reads("read_event_types", F0.versions(2).types([2, 5]), "w.aggregate_version >= 2", "e.event_type_major IN (2, 5)")
 
 
-@query(f"{M}, f AS (SELECT aggregate_id, max(keep_from) AS floor FROM wal WHERE kind = 'soft_trim' GROUP BY 1) SELECT {BATCH} FROM wal WHERE kind = 'event_batch' AND aggregate_version >= coalesce((SELECT floor FROM f WHERE f.aggregate_id = wal.aggregate_id), 0)")
+@query(f"{L} SELECT {BATCH} FROM live LEFT JOIN floors USING (aggregate_id) WHERE aggregate_version >= coalesce(floor, 0)")
 def read_after_trim(s, d):
-    w = wal(s, d)
-    return read.read(w).join(read.floors(w), "aggregate_id", "left").where(F.col("aggregate_version") >= F.coalesce("floor", F.lit(0))).select(*_BATCH)
+    w = log(s, d)
+    return read.above_floor(read.read(w), read.floors(w)).select(*_BATCH)
 
 
-@query(f"""{M}, sized AS (SELECT *, sum(size) OVER (PARTITION BY aggregate_id ORDER BY aggregate_version) AS running FROM wal WHERE kind = 'event_batch'),
+@query(f"""{L}, f AS (SELECT l.aggregate_id, bool_or(coalesce(deleted, false)) AS deleted, coalesce(max(floor), 0) AS floor FROM log l LEFT JOIN incarnation USING (aggregate_id) LEFT JOIN floors f ON f.aggregate_id = l.aggregate_id GROUP BY 1)
+SELECT aggregate_id, CASE WHEN deleted THEN 1001 WHEN floor > 1 THEN 1000 ELSE 0 END AS code, floor FROM f""")
+def read_guards(s, d):
+    """What a read from version 1 of each aggregate answers: its batches (0), or an error."""
+    return read.answers(log(s, d))
+
+
+@query(f"""{L}, sized AS (SELECT *, sum(size) OVER (PARTITION BY aggregate_id ORDER BY aggregate_version) AS running FROM live),
 cut AS (SELECT aggregate_id, min(aggregate_version) AS next_version FROM sized WHERE running > 2000 GROUP BY 1)
 SELECT aggregate_id, aggregate_version, size, next_version FROM sized LEFT JOIN cut USING (aggregate_id) WHERE running <= 2000""")
 def read_page_bytes(s, d):
-    return read.page(read.read(wal(s, d)), 2000).select("aggregate_id", "aggregate_version", "size", "next_version")
+    return read.page(read.read(log(s, d)), 2000).select("aggregate_id", "aggregate_version", "size", "next_version")
 
 
-@query(f"{M} SELECT aggregate_version, size FROM wal WHERE kind = 'event_batch' AND aggregate_id = 7")
+@query(f"{L} SELECT aggregate_version, size FROM live WHERE aggregate_id = 7")
 def read_all(s, d):
-    """All pages of one aggregate. The pages of an iteration are read from one materialised aggregate."""
-    own = read.of_aggregate(wal(s, d), 7).cache()
+    """All pages of one aggregate, each read by itself from the stored log."""
     out = None
-    for got in read.read_all(own, 7, 20_000):
+    for got in read.read_all(log(s, d), 7, 20_000):
         part = got.select("aggregate_version", "size")
         out = part if out is None else out.unionByName(part)
     return out
@@ -272,57 +283,57 @@ def watch_feed(s, d):
 
 # listings
 
-_LAST_DELETE = "dead AS (SELECT aggregate_id, max(wal_seq) AS delete_seq FROM wal WHERE kind = 'soft_delete' GROUP BY 1), born AS (SELECT aggregate_id, min(wal_seq) AS born FROM wal WHERE kind <> 'soft_trim' GROUP BY 1)"
+_LAST_DELETE = "dead AS (SELECT aggregate_id, max(wal_seq) AS delete_seq, max(CASE WHEN NOT allow_continuation THEN wal_seq END) AS fresh_seq FROM log WHERE kind = 'soft_delete' GROUP BY 1), born AS (SELECT aggregate_id, min(wal_seq) AS born FROM log WHERE kind <> 'soft_trim' GROUP BY 1)"
 _SUMMARY = """SELECT w.org_id, w.aggregate_type_id, w.aggregate_id{more},
   count(CASE WHEN w.kind = 'event_batch' AND w.wal_seq > coalesce(delete_seq, 0) THEN 1 END) AS batch_count,
   CAST(coalesce(sum(CASE WHEN w.kind = 'event_batch' AND w.wal_seq > coalesce(delete_seq, 0) THEN w.size END), 0) AS BIGINT) AS total_size,
   coalesce(max(CASE WHEN w.kind = 'event_batch' THEN w.aggregate_version END), 0) AS max_version, coalesce(max(CASE WHEN w.kind <> 'soft_trim' THEN w.server_timestamp END), 0) AS max_timestamp,
-  coalesce(max(CASE WHEN w.kind = 'soft_trim' AND w.wal_seq > born THEN w.keep_from END), 0) AS floor,
+  coalesce(max(CASE WHEN w.kind = 'soft_trim' AND w.wal_seq > greatest(born, coalesce(fresh_seq, 0)) THEN w.keep_from END), 0) AS floor,
   coalesce(max(delete_seq), 0) > coalesce(max(CASE WHEN w.kind = 'event_batch' THEN w.wal_seq END), 0) AS is_deleted"""
-_LISTED = f"{M}, {_LAST_DELETE}, listed AS ({_SUMMARY.format(more='')} FROM wal w JOIN born USING (aggregate_id) LEFT JOIN dead USING (aggregate_id) GROUP BY ALL)"
+_LISTED = f"{L}, {_LAST_DELETE}, listed AS ({_SUMMARY.format(more='')} FROM log w JOIN born USING (aggregate_id) LEFT JOIN dead USING (aggregate_id) GROUP BY ALL)"
 _LIST = ["org_id", "aggregate_type_id", "aggregate_id", "batch_count", "total_size", "max_version", "max_timestamp", "floor", "is_deleted"]
 
 
 @query(f"{_LISTED} SELECT * FROM listed WHERE NOT is_deleted")
 def list_aggregates(s, d):
-    return listing.aggregates(wal(s, d)).select(*_LIST)
+    return listing.aggregates(log(s, d)).select(*_LIST)
 
 
 @query(f"{_LISTED} SELECT * FROM listed")
 def list_aggregates_all(s, d):
-    return listing.aggregates(wal(s, d), include_deleted=True).select(*_LIST)
+    return listing.aggregates(log(s, d), include_deleted=True).select(*_LIST)
 
 
 @query(f"{_LISTED} SELECT * FROM listed WHERE NOT is_deleted AND org_id = 1 AND aggregate_type_id = 2")
 def list_aggregates_filtered(s, d):
-    return listing.aggregates(wal(s, d), org_id=1, type_id=2).select(*_LIST)
+    return listing.aggregates(log(s, d), org_id=1, type_id=2).select(*_LIST)
 
 
 @query(f"{_LISTED} SELECT * FROM listed WHERE NOT is_deleted AND aggregate_id IN (SELECT aggregate_id FROM dead)")
 def list_recreated(s, d):
-    w = wal(s, d)
+    w = log(s, d)
     return listing.aggregates(w.join(listing.last_deletes(w).select("aggregate_id"), "aggregate_id", "left_semi")).select(*_LIST)
 
 
-_SEGMENTS = f"""{M}, dead AS (SELECT aggregate_id, log_id, max(wal_seq) AS delete_seq FROM wal WHERE kind = 'soft_delete' GROUP BY 1, 2), born AS (SELECT aggregate_id, log_id, min(wal_seq) AS born FROM wal WHERE kind <> 'soft_trim' GROUP BY 1, 2),
-listed AS ({_SUMMARY.format(more=', w.shard_id, w.log_id')} FROM wal w JOIN born USING (aggregate_id, log_id) LEFT JOIN dead USING (aggregate_id, log_id) GROUP BY ALL)"""
+_SEGMENTS = f"""{L}, dead AS (SELECT aggregate_id, log_id, max(wal_seq) AS delete_seq, max(CASE WHEN NOT allow_continuation THEN wal_seq END) AS fresh_seq FROM log WHERE kind = 'soft_delete' GROUP BY 1, 2), born AS (SELECT aggregate_id, log_id, min(wal_seq) AS born FROM log WHERE kind <> 'soft_trim' GROUP BY 1, 2),
+listed AS ({_SUMMARY.format(more=', w.shard_id, w.log_id')} FROM log w JOIN born USING (aggregate_id, log_id) LEFT JOIN dead USING (aggregate_id, log_id) GROUP BY ALL)"""
 
 
 @query(f"{_SEGMENTS} SELECT * FROM listed")
 def segment_summary(s, d):
-    return listing.summary(wal(s, d), "shard_id", "log_id").select("shard_id", "log_id", *_LIST)
+    return listing.summary(log(s, d), "shard_id", "log_id").select("shard_id", "log_id", *_LIST)
 
 
-@query(f"{_LISTED} SELECT org_id, aggregate_type_id, aggregate_id, batch_count, total_size, max_version, max_timestamp, is_deleted FROM listed")
+@query(f"{_LISTED} SELECT * FROM listed")
 def merge_segments(s, d):
-    """Partial summaries of segments, merged: as the summary of the whole log (but for the floor of trims in a segment without a batch)."""
-    return listing.merge(listing.summary(wal(s, d), "shard_id", "log_id")).select("org_id", "aggregate_type_id", "aggregate_id", "batch_count", "total_size", "max_version", "max_timestamp", "is_deleted")
+    """Partial summaries of segments, merged: as the summary of the whole log."""
+    return listing.merge(listing.partials(log(s, d), "shard_id", "log_id")).select(*_LIST)
 
 
-@query(f"""{_SEGMENTS}, e AS (SELECT aggregate_id, log_id, min(min_event_timestamp) AS t FROM wal LEFT JOIN dead USING (aggregate_id, log_id) WHERE kind = 'event_batch' AND wal_seq > coalesce(delete_seq, 0) GROUP BY 1, 2)
+@query(f"""{_SEGMENTS}, e AS (SELECT aggregate_id, log_id, min(min_event_timestamp) AS t FROM log LEFT JOIN dead USING (aggregate_id, log_id) WHERE kind = 'event_batch' AND wal_seq > coalesce(delete_seq, 0) GROUP BY 1, 2)
 SELECT org_id, aggregate_type_id, aggregate_id, CAST(sum(batch_count) AS BIGINT) AS batch_count, CAST(sum(total_size) AS BIGINT) AS total_size, max(max_version) AS max_version, coalesce(min(t), 0) AS min_event_timestamp, bool_or(is_deleted) AS is_deleted FROM listed LEFT JOIN e USING (aggregate_id, log_id) GROUP BY 1, 2, 3""")
 def list_stats_merge(s, d):
-    return listing.merge_pages(listing.summary(wal(s, d), "shard_id", "log_id"))
+    return listing.merge_pages(listing.summary(log(s, d), "shard_id", "log_id"))
 
 
 @query("SELECT DISTINCT user_id % 4 AS org_id FROM events")
@@ -341,18 +352,19 @@ def union_orgs(s, d):
     return rows.where("org_id < 2").unionByName(rows.where("org_id BETWEEN 1 AND 2")).distinct()
 
 
-@query(f"""{M}, b AS (SELECT * FROM wal WHERE kind = 'event_batch'), l AS (SELECT aggregate_id, arg_max(kind, wal_seq) AS kind, arg_max(coalesce(allow_recreate, false), wal_seq) AS r, arg_max(coalesce(allow_continuation, false), wal_seq) AS c FROM wal WHERE kind <> 'soft_trim' GROUP BY 1),
-t AS (SELECT aggregate_id, max(keep_from) AS floor, max(wal_seq) AS last_wal_seq FROM wal GROUP BY 1)
+@query(f"""{L}, own AS (SELECT l.* FROM log l LEFT JOIN incarnation USING (aggregate_id) WHERE wal_seq > coalesce(start, 0)), b AS (SELECT * FROM own WHERE kind = 'event_batch'),
+l AS (SELECT aggregate_id, arg_max(kind, wal_seq) AS kind, arg_max(coalesce(allow_recreate, false), wal_seq) AS r, arg_max(coalesce(allow_continuation, false), wal_seq) AS c FROM own WHERE kind <> 'soft_trim' GROUP BY 1),
+t AS (SELECT aggregate_id, max(keep_from) AS floor, max(wal_seq) AS last_wal_seq FROM own GROUP BY 1)
 SELECT b.org_id, b.aggregate_type_id, b.aggregate_id, greatest(min(b.aggregate_version), coalesce(any_value(floor), 0)) AS min_version, max(b.aggregate_version) AS max_version, max(max_event_seq) AS max_event_seq,
  any_value(l.kind) = 'soft_delete' AS is_deleted, any_value(r) AS allow_recreate, any_value(c) AS allow_continuation, arg_max(b.client_id, b.wal_seq) AS last_client_id, any_value(x.user_id) AS last_user_id, max(b.server_timestamp) AS last_timestamp, any_value(last_wal_seq) AS last_wal_seq
 FROM b JOIN l USING (aggregate_id) JOIN t USING (aggregate_id) LEFT JOIN (SELECT aggregate_id, user_id FROM b QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY wal_seq DESC) = 1) x USING (aggregate_id) GROUP BY 1, 2, 3""")
 def aggregate_details(s, d):
-    return read.state(wal(s, d))
+    return read.state(log(s, d))
 
 
-@query(f"{M} SELECT aggregate_id, max(keep_from) AS floor FROM wal WHERE kind = 'soft_trim' GROUP BY 1")
+@query(f"{L} SELECT aggregate_id, floor FROM floors")
 def trim_floor(s, d):
-    return read.floors(wal(s, d))
+    return read.floors(log(s, d))
 
 
 @query(f"{M} SELECT org_id, aggregate_type_id, aggregate_id, client_id, max(max_client_seq) AS floor FROM wal WHERE kind = 'event_batch' GROUP BY 1, 2, 3, 4")
@@ -382,10 +394,10 @@ def topn_aggregates(s, d):
     return wal(s, d).where("kind = 'event_batch'").groupBy("aggregate_id").agg(F.count(F.lit(1)).alias("batches")).orderBy("aggregate_id").limit(24)
 
 
-@query()
+@query(f"{M} SELECT aggregate_id FROM (SELECT DISTINCT aggregate_id FROM wal) ORDER BY md5(aggregate_id || '-42'), aggregate_id LIMIT 24")
 def sample_aggregates(s, d):
     """A seeded sample of 24 aggregates: those with the smallest hash."""
-    return listing.orgs(wal(s, d).select(F.col("aggregate_id").alias("org_id"))).select(F.col("org_id").alias("aggregate_id")).orderBy(F.xxhash64("aggregate_id", F.lit(42)), "aggregate_id").limit(24)
+    return listing.sampled(wal(s, d), 24, 42)
 
 
 # projections
@@ -441,13 +453,10 @@ def python_fold(s, d):
     return project.fold(events(s, d).select("aggregate_id", "event_seq", "event_type_major", "amount"), "aggregate_id bigint, balance bigint, last_seq bigint", step)
 
 
-_CACHE = "SELECT aggregate_id, event_id, t, rank() OVER (PARTITION BY aggregate_id ORDER BY t DESC, event_id DESC) AS r FROM (SELECT aggregate_id, event_id, event_timestamp + 86400000 AS t FROM event WHERE event_id % 10 = 0)"
-
-
-@query(f"{M}, p AS (SELECT aggregate_id, CAST(sum({_SIGN}) AS BIGINT) AS balance FROM event GROUP BY 1), c AS (SELECT aggregate_id, event_id, event_timestamp + 86400000 AS expires_at FROM event WHERE event_id % 10 = 0) SELECT p.aggregate_id, balance, event_id, expires_at FROM p LEFT JOIN c ON p.aggregate_id = c.aggregate_id AND c.expires_at > {T0 + 25 * 86_400_000}")
+@query(f"{M}, p AS (SELECT aggregate_id, CAST(sum({_SIGN}) AS BIGINT) AS balance FROM event GROUP BY 1), c AS (SELECT aggregate_id, event_id, event_timestamp + 86400000 AS expires_at FROM event) SELECT p.aggregate_id, balance, event_id, expires_at FROM p LEFT JOIN c ON p.aggregate_id = c.aggregate_id AND c.expires_at > {T0 + 25 * 86_400_000}")
 def projection_left_join(s, d):
     e = events(s, d)
-    cache = e.where("event_id % 10 = 0").select(F.col("aggregate_id").alias("of"), "event_id", (F.col("event_timestamp") + 86_400_000).alias("expires_at"))
+    cache = e.select(F.col("aggregate_id").alias("of"), "event_id", (F.col("event_timestamp") + 86_400_000).alias("expires_at"))
     p = project.balances(e)
     return p.join(cache, (F.col("aggregate_id") == F.col("of")) & (F.col("expires_at") > T0 + 25 * 86_400_000), "left").drop("of")
 
@@ -475,9 +484,9 @@ def upsert_projection(s, d):
     return write.upsert(old, new)
 
 
-@query(f"{M} SELECT aggregate_id, event_id, event_timestamp + 86400000 AS expires_at FROM event WHERE event_id % 10 = 0 AND event_timestamp + 86400000 >= {T0 + 20 * 86_400_000}")
+@query(f"{M} SELECT aggregate_id, event_id, event_timestamp + 86400000 AS expires_at FROM event WHERE event_timestamp + 86400000 >= {T0 + 20 * 86_400_000}")
 def ttl_purge(s, d):
-    return events(s, d).where("event_id % 10 = 0").select("aggregate_id", "event_id", (F.col("event_timestamp") + 86_400_000).alias("expires_at")).where(F.col("expires_at") >= T0 + 20 * 86_400_000)
+    return events(s, d).select("aggregate_id", "event_id", (F.col("event_timestamp") + 86_400_000).alias("expires_at")).where(F.col("expires_at") >= T0 + 20 * 86_400_000)
 
 
 @query(f"{M} SELECT aggregate_id, client_seq, arg_min(event_id, event_seq) AS owner, CASE WHEN count(*) > 1 THEN 'contested' ELSE 'owned' END AS state, arg_min(client_id, event_seq) AS client_id FROM event GROUP BY 1, 2")
@@ -561,18 +570,14 @@ def _uploads(s, d) -> DataFrame:
 
 @query(f"{M}, up AS ({_UPLOADS}) SELECT shard_id, log_id, lease_epoch, upload, first_seq, last_seq FROM up QUALIFY row_number() OVER (PARTITION BY shard_id, log_id ORDER BY lease_epoch DESC, upload DESC) = 1")
 def authoritative_batches(s, d):
-    best = F.max_by(F.struct("lease_epoch", "upload", "first_seq", "last_seq"), F.struct("lease_epoch", "upload"))
-    return _uploads(s, d).groupBy("shard_id", "log_id").agg(best.alias("x")).select("shard_id", "log_id", "x.*")
+    return listing.authoritative(_uploads(s, d))
 
 
 @query(f"{M}, r AS (SELECT shard_id, log_id, min(wal_seq) AS low, max(wal_seq) AS high FROM wal GROUP BY 1, 2) SELECT a.shard_id, a.log_id, b.log_id AS other FROM r a JOIN (SELECT shard_id, log_id, low - 20 AS low, high + 20 AS high FROM r) b ON a.shard_id = b.shard_id AND a.low <= b.high AND b.low <= a.high")
 def batch_overlap(s, d):
-    """Segments whose sequence ranges meet another's, widened by 20: ranges are cut into buckets, so the join is by equality."""
+    """Segments whose sequence ranges meet another's, widened by 20."""
     r = wal(s, d).groupBy("shard_id", "log_id").agg(F.min("wal_seq").alias("low"), F.max("wal_seq").alias("high"))
-    width = model.SEGMENT
-    cut = lambda df: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
-    a, b = cut(r), cut(r.select("shard_id", F.col("log_id").alias("other"), (F.col("low") - 20).alias("low_b"), (F.col("high") + 20).alias("high_b")).withColumnsRenamed({"low_b": "low", "high_b": "high"})).withColumnsRenamed({"low": "low_b", "high": "high_b"})
-    return a.join(b, ["shard_id", "cell"]).where("low <= high_b AND low_b <= high").select("shard_id", "log_id", "other").distinct()
+    return listing.overlaps(r, r.select("shard_id", F.col("log_id").alias("other"), (F.col("low") - 20).alias("low"), (F.col("high") + 20).alias("high")), "shard_id", model.SEGMENT).select("shard_id", "log_id", "other")
 
 
 @query(f"{M}, r AS (SELECT shard_id, log_id, min(wal_seq) AS first, max(wal_seq) - CASE WHEN log_id % 2 = 0 THEN 5 ELSE 0 END AS last FROM wal GROUP BY 1, 2), l AS (SELECT shard_id, first, last, lag(last) OVER (PARTITION BY shard_id ORDER BY first, last) AS before FROM r) SELECT * FROM l WHERE first > last OR before + 1 < first")
@@ -583,19 +588,19 @@ def check_s3_gaps(s, d):
 
 # compaction
 
-_STATES = """st AS (SELECT aggregate_id, max(CASE WHEN kind = 'soft_delete' THEN wal_seq END) AS delete_seq, bool_or(allow_continuation) AS continues, max(CASE WHEN kind = 'event_batch' THEN wal_seq END) AS last_batch, max(keep_from) AS floor FROM wal GROUP BY 1),
-state AS (SELECT aggregate_id, CASE WHEN delete_seq IS NOT NULL AND coalesce(last_batch, 0) < delete_seq THEN 'deleted' WHEN delete_seq IS NOT NULL THEN 'recreated' WHEN floor IS NOT NULL THEN 'trimmed' ELSE 'alive' END AS state, coalesce(floor, 0) AS floor, delete_seq, coalesce(continues, false) AS continues FROM st),
-kept AS (SELECT w.*, kind <> 'event_batch' OR NOT (state = 'deleted' OR state = 'recreated' AND NOT continues AND wal_seq < delete_seq OR aggregate_version < s.floor) AS keep FROM wal w JOIN (SELECT aggregate_id, state, floor, delete_seq, continues FROM state) s USING (aggregate_id))"""
+_STATES = """st AS (SELECT aggregate_id, max(CASE WHEN kind = 'soft_delete' THEN wal_seq END) AS delete_seq, max(CASE WHEN kind = 'event_batch' THEN wal_seq END) AS last_batch, arg_max(keep_from, wal_seq) FILTER (WHERE kind = 'soft_trim') AS floor FROM log GROUP BY 1),
+state AS (SELECT aggregate_id, CASE WHEN delete_seq IS NOT NULL AND coalesce(last_batch, 0) < delete_seq THEN 'deleted' WHEN delete_seq IS NOT NULL THEN 'recreated' WHEN floor IS NOT NULL THEN 'trimmed' ELSE 'alive' END AS state, CASE WHEN delete_seq IS NULL THEN coalesce(floor, 0) ELSE 0 END AS floor, delete_seq FROM st),
+kept AS (SELECT w.*, CASE WHEN kind <> 'event_batch' THEN true WHEN state = 'deleted' THEN false WHEN state = 'recreated' THEN wal_seq > delete_seq ELSE aggregate_version >= s.floor END AS keep FROM log w JOIN state s USING (aggregate_id))"""
 
 
-@query(f"{M}, {_STATES} SELECT * FROM state")
+@query(f"{L}, {_STATES} SELECT * FROM state")
 def compaction_state(s, d):
-    return compact.states(wal(s, d))
+    return compact.states(log(s, d))
 
 
-@query(f"{M}, {_STATES} SELECT shard_id, wal_seq, kind, aggregate_id, aggregate_version FROM kept WHERE keep")
+@query(f"{L}, {_STATES} SELECT shard_id, wal_seq, kind, aggregate_id, aggregate_version FROM kept WHERE keep")
 def compact_keep(s, d):
-    return compact.marked(wal(s, d)).where("keep").select("shard_id", "wal_seq", "kind", "aggregate_id", "aggregate_version")
+    return compact.marked(log(s, d)).where("keep").select("shard_id", "wal_seq", "kind", "aggregate_id", "aggregate_version")
 
 
 @query(f"{M} SELECT shard_id, log_id, count(*) AS batches FROM wal WHERE kind = 'event_batch' AND aggregate_id IN (SELECT aggregate_id FROM wal WHERE kind <> 'event_batch') GROUP BY 1, 2")
@@ -603,80 +608,118 @@ def compact_candidates(s, d):
     return compact.candidates(wal(s, d))
 
 
-@query(f"""{M}, {_STATES}, r AS (SELECT shard_id, log_id, count(CASE WHEN keep THEN 1 END) AS kept_rows, count(*) AS rows, CAST(coalesce(sum(CASE WHEN keep THEN size END), 0) AS BIGINT) AS kept_bytes, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM kept GROUP BY 1, 2)
+@query(f"""{L}, {_STATES}, r AS (SELECT shard_id, log_id, count(CASE WHEN keep THEN 1 END) AS kept_rows, count(*) AS rows, CAST(coalesce(sum(CASE WHEN keep THEN size END), 0) AS BIGINT) AS kept_bytes, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM kept GROUP BY 1, 2)
 SELECT *, 100 * (bytes - kept_bytes) >= 20 * bytes AS worth FROM r""")
 def reclaimable_ratio(s, d):
-    return compact.reclaimable(wal(s, d))
+    return compact.reclaimable(log(s, d))
 
 
-@query(f"{M} SELECT aggregate_id, arg_max(keep_from, wal_seq) AS keep_from, max(wal_seq) AS wal_seq FROM wal WHERE kind = 'soft_trim' GROUP BY 1")
+@query(f"{L} SELECT aggregate_id, arg_max(keep_from, wal_seq) AS keep_from, max(wal_seq) AS wal_seq FROM log WHERE kind = 'soft_trim' GROUP BY 1")
 def latest_trim(s, d):
-    return wal(s, d).where("kind = 'soft_trim'").groupBy("aggregate_id").agg(F.max_by("keep_from", "wal_seq").alias("keep_from"), F.max("wal_seq").alias("wal_seq"))
+    return read.latest_trim(log(s, d))
 
 
 # mutations
 
 
-@query(f"{M} SELECT aggregate_id, arg_max(kind, wal_seq) = 'soft_delete' AS is_deleted, bool_or(kind = 'soft_delete') AS was_deleted FROM wal WHERE kind <> 'soft_trim' GROUP BY 1")
+@query(f"{L} SELECT aggregate_id, arg_max(kind, wal_seq) = 'soft_delete' AS is_deleted, bool_or(kind = 'soft_delete') AS was_deleted FROM log WHERE kind <> 'soft_trim' GROUP BY 1")
 def delete_state(s, d):
-    rows = wal(s, d).where("kind <> 'soft_trim'")
-    return rows.groupBy("aggregate_id").agg((F.max_by("kind", "wal_seq") == "soft_delete").alias("is_deleted"), F.bool_or(F.col("kind") == "soft_delete").alias("was_deleted"))
+    return read.deletion(log(s, d))
 
 
-_RECREATED = f"{M}, dead AS (SELECT aggregate_id, max(wal_seq) AS delete_seq, bool_or(allow_continuation) AS continues FROM wal WHERE kind = 'soft_delete' GROUP BY 1), again AS (SELECT w.* FROM wal w JOIN dead USING (aggregate_id) WHERE kind = 'event_batch' AND wal_seq > delete_seq)"
-
-
-def _after_delete(s, d, continues: bool) -> tuple[DataFrame, DataFrame]:
-    w = wal(s, d)
-    dead = w.where("kind = 'soft_delete'").groupBy("aggregate_id").agg(F.max("wal_seq").alias("delete_seq"), F.bool_or("allow_continuation").alias("continues")).where(F.col("continues") == continues)
-    return w.where("kind = 'event_batch'").join(dead, "aggregate_id"), dead
+_RECREATED = f"{L}, again AS (SELECT aggregate_id, arg_max(allow_continuation, wal_seq) AS continues FROM log WHERE kind = 'soft_delete' GROUP BY 1) SELECT aggregate_id, aggregate_version, wal_seq FROM live JOIN again USING (aggregate_id) WHERE "
 
 
-@query(f"{_RECREATED} SELECT aggregate_id, aggregate_version, wal_seq FROM wal WHERE kind = 'event_batch' AND aggregate_id IN (SELECT aggregate_id FROM again JOIN dead USING (aggregate_id) WHERE continues)")
+@query(f"{_RECREATED} continues")
 def recreate_continue(s, d):
     """With continuation, versions go on and the batches before the delete are readable again."""
-    rows, _ = _after_delete(s, d, True)
-    back = rows.where("wal_seq > delete_seq").select("aggregate_id").distinct()
-    return rows.join(back, "aggregate_id", "left_semi").select("aggregate_id", "aggregate_version", "wal_seq")
+    return read.recreated(log(s, d), True).select("aggregate_id", "aggregate_version", "wal_seq")
 
 
-@query(f"{_RECREATED} SELECT aggregate_id, row_number() OVER (PARTITION BY aggregate_id ORDER BY wal_seq) AS aggregate_version, wal_seq FROM again JOIN dead USING (aggregate_id) WHERE NOT continues")
+@query(f"{_RECREATED} NOT continues")
 def recreate_fresh(s, d):
-    """Without continuation, only what came after the delete is readable, numbered from 1."""
-    rows, _ = _after_delete(s, d, False)
-    version = F.row_number().over(Window.partitionBy("aggregate_id").orderBy("wal_seq")).cast("long")
-    return rows.where("wal_seq > delete_seq").withColumn("aggregate_version", version).select("aggregate_id", "aggregate_version", "wal_seq")
+    """Without continuation, only what came after the delete is readable, with versions from 1."""
+    return read.recreated(log(s, d), False).select("aggregate_id", "aggregate_version", "wal_seq")
 
 
-def commands(spark: SparkSession, d: str) -> DataFrame:
-    """The log as commands, with faults: stale versions, replays, missing permission to create, empty writes, a zero type."""
+_SEVERAL = "wal_seq % 9 = 1 AND kind = 'event_batch' AND before_kind = 'event_batch' AND before_aggregate <> aggregate_id"
+_ITEMS = f"""{M}, item AS (
+  SELECT shard_id, CASE WHEN wal_seq % 97 = 0 THEN wal_seq * 4 WHEN {_SEVERAL} THEN (wal_seq - 1) * 4 + shard_id ELSE wal_seq * 4 + shard_id END AS request_id,
+    CASE kind WHEN 'event_batch' THEN 'write' WHEN 'soft_delete' THEN 'delete' ELSE 'trim' END AS op, aggregate_id, client_id, coalesce(min_client_seq, 0) - CASE WHEN wal_seq % 13 = 0 THEN 3 ELSE 0 END AS first_client_seq,
+    CASE WHEN wal_seq % 59 = 0 OR kind <> 'event_batch' THEN 0 ELSE n_events END AS n_events, CASE WHEN wal_seq % 71 = 0 THEN 0 ELSE 1 END AS min_type, wal_seq % 37 <> 0 AS valid, wal_seq % 6 <> 0 AS idempotent, wal_seq % 5 <> 0 AS allow_create,
+    CASE WHEN wal_seq % 31 = 0 THEN 999999 END AS expected_version, coalesce(keep_from, 0) AS keep_from, coalesce(allow_recreate, false) AS allow_recreate, coalesce(allow_continuation, false) AS allow_continuation,
+    CASE WHEN wal_seq % 3 = 0 THEN wal_seq * 4 - 400 END AS durable_upto
+  FROM (SELECT *, lag(kind) OVER w AS before_kind, lag(aggregate_id) OVER w AS before_aggregate FROM wal WINDOW w AS (PARTITION BY shard_id ORDER BY wal_seq))
+), crossing AS (SELECT request_id FROM item GROUP BY 1 HAVING count(DISTINCT shard_id) > 1
+), turn AS (SELECT *, dense_rank() OVER (PARTITION BY shard_id ORDER BY request_id) AS n FROM item WHERE request_id NOT IN (SELECT request_id FROM crossing))"""
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """The log as requests, some with two items, with faults: stale versions, replays, missing permission to create, empty writes, a zero type, payloads that don't fit, items on several shards."""
     w = wal(spark, d)
     seq, kind = F.col("wal_seq"), F.col("kind")
-    op = F.when(kind == "event_batch", "write").when(kind == "soft_delete", "delete").otherwise("trim")
-    first = F.coalesce("min_client_seq", F.lit(0)) - F.when(seq % 43 == 0, 50).otherwise(0)
-    return w.select(
-        (seq * 10).alias("command_id"), op.alias("op"), "aggregate_id", "client_id", first.alias("first_client_seq"),
-        F.when(seq % 59 == 0, 0).otherwise(F.coalesce(F.size("events"), F.lit(0))).cast("long").alias("n_events"), F.when(seq % 71 == 0, 0).otherwise(1).cast("long").alias("min_type"),
-        (seq % 5 != 0).alias("allow_create"), F.when(seq % 31 == 0, 999_999).cast("long").alias("expected_version"), F.coalesce("keep_from", F.lit(0)).alias("keep_from"),
-        F.coalesce("allow_recreate", F.lit(False)).alias("allow_recreate"), F.coalesce("allow_continuation", F.lit(False)).alias("allow_continuation"),
+    before = w.select("shard_id", (seq + 1).alias("wal_seq"), F.col("kind").alias("before_kind"), F.col("aggregate_id").alias("before_aggregate"))
+    several = F.coalesce((seq % 9 == 1) & (kind == "event_batch") & (F.col("before_kind") == "event_batch") & (F.col("before_aggregate") != F.col("aggregate_id")), F.lit(False))
+    return w.join(before, ["shard_id", "wal_seq"], "left").select(
+        F.when(seq % 97 == 0, seq * 4).when(several, (seq - 1) * 4 + F.col("shard_id")).otherwise(seq * 4 + F.col("shard_id")).alias("request_id"),
+        F.when(kind == "event_batch", "write").when(kind == "soft_delete", "delete").otherwise("trim").alias("op"), "aggregate_id", "client_id",
+        (F.coalesce("min_client_seq", F.lit(0)) - F.when(seq % 13 == 0, 3).otherwise(0)).alias("first_client_seq"),
+        F.when((seq % 59 == 0) | (kind != "event_batch"), 0).otherwise(F.size("events")).cast("long").alias("n_events"), F.when(seq % 71 == 0, 0).otherwise(1).cast("long").alias("min_type"), (seq % 37 != 0).alias("valid"), (seq % 6 != 0).alias("idempotent"), (seq % 5 != 0).alias("allow_create"),
+        F.when(seq % 31 == 0, 999_999).cast("long").alias("expected_version"), F.coalesce("keep_from", F.lit(0)).alias("keep_from"), F.coalesce("allow_recreate", F.lit(False)).alias("allow_recreate"), F.coalesce("allow_continuation", F.lit(False)).alias("allow_continuation"),
+        F.when(seq % 3 == 0, seq * 4 - 400).alias("durable_upto"), *model.KEY[:2], "user_id", "server_timestamp", "lease_epoch", "node_id", "size", "events",
     )
 
 
-@query()
+#: One turn of every shard at a time: what each item of the turn's request meets, whether all can be applied, and the state of every aggregate after it.
+_DECIDED = f"""WITH RECURSIVE {_ITEMS.strip().removeprefix('WITH')}, state AS (
+  SELECT DISTINCT shard_id, 0::BIGINT AS n, aggregate_id, 0::BIGINT AS version, 0::BIGINT AS event_seq, false AS there, false AS deleted, true AS may, false AS continues, [0, 0, 0, 0, 0]::BIGINT[] AS seqs, [0, 0, 0, 0, 0]::BIGINT[] AS requests, [0, 0, 0, 0, 0]::BIGINT[] AS versions,
+    NULL::BIGINT AS request_id, NULL::VARCHAR AS op, NULL::INTEGER AS code FROM turn
+  UNION ALL
+  SELECT shard_id, n, aggregate_id,
+    CASE WHEN writes THEN greatest(CASE WHEN anew THEN 0 ELSE version END, versions[c]) + 1 ELSE version END, CASE WHEN writes THEN CASE WHEN anew THEN 0 ELSE event_seq END + n_events ELSE event_seq END,
+    there OR writes, CASE WHEN writes THEN false WHEN ok AND op = 'delete' THEN true ELSE deleted END, CASE WHEN ok AND op = 'delete' THEN allow_recreate ELSE may END, CASE WHEN ok AND op = 'delete' THEN allow_continuation ELSE continues END,
+    CASE WHEN writes THEN list_concat(seqs[:c - 1], [greatest(seqs[c], first_client_seq + n_events - 1)], seqs[c + 1:]) ELSE seqs END,
+    CASE WHEN writes THEN list_concat(requests[:c - 1], [request_id], requests[c + 1:]) ELSE requests END,
+    CASE WHEN writes THEN list_concat(versions[:c - 1], [greatest(CASE WHEN anew THEN 0 ELSE version END, versions[c]) + 1], versions[c + 1:]) ELSE versions END,
+    request_id, op, all_code
+  FROM (
+    SELECT *, ok AND op = 'write' AS writes, deleted AND NOT continues AS anew FROM (
+      SELECT *, op IS NOT NULL AND all_code = 0 AS ok FROM (
+        SELECT *, coalesce(arg_min(code, aggregate_id) FILTER (WHERE code <> 0) OVER (PARTITION BY shard_id), 0)::INTEGER AS all_code FROM (
+          SELECT s.shard_id, s.n + 1 AS n, s.aggregate_id, s.version, s.event_seq, s.there, s.deleted, s.may, s.continues, s.seqs, s.requests, s.versions, t.request_id, t.op, t.n_events, t.first_client_seq, t.allow_recreate, t.allow_continuation, t.client_id + 1 AS c,
+            CASE t.op WHEN 'write' THEN CASE WHEN t.n_events <= 0 THEN 2000 WHEN t.min_type = 0 THEN 2001 WHEN NOT there AND NOT t.allow_create THEN 2005 WHEN deleted AND NOT may THEN 2006
+                WHEN t.expected_version <> CASE WHEN deleted AND NOT continues THEN 0 ELSE version END THEN 2003
+                WHEN t.idempotent AND requests[t.client_id + 1] > 0 AND t.first_client_seq <= seqs[t.client_id + 1] THEN CASE WHEN requests[t.client_id + 1] > t.durable_upto THEN 2013 ELSE 2002 END WHEN NOT t.valid THEN 2022 ELSE 0 END
+              WHEN 'trim' THEN CASE WHEN NOT there OR deleted THEN 3000 WHEN t.keep_from > version THEN 3004 ELSE 0 END
+              WHEN 'delete' THEN CASE WHEN NOT there OR deleted THEN 4000 WHEN t.expected_version <> version THEN 4002 ELSE 0 END END AS code
+          FROM state s LEFT JOIN turn t ON t.shard_id = s.shard_id AND t.n = s.n + 1 AND t.aggregate_id = s.aggregate_id
+          WHERE s.n < (SELECT max(n) FROM turn)
+        ))))
+)"""
+
+
+@query(f"""{_DECIDED} SELECT shard_id, request_id, aggregate_id, op, code = 0 AS accepted, code, version AS aggregate_version, event_seq FROM state WHERE op IS NOT NULL
+UNION ALL SELECT shard_id, request_id, aggregate_id, op, false, 9001, NULL, NULL FROM item WHERE request_id IN (SELECT request_id FROM crossing)""")
 def write_decisions(s, d):
-    """Accepted or the code of each command; tests/test_write.py has the cases one by one."""
-    return write.decisions(commands(s, d))
+    """Accepted, or the code, of each item of all requests."""
+    return write.decisions(items(s, d))
 
 
-@query("SELECT user_id AS request_id, count(DISTINCT event_id % 4) AS shards, 9001 AS code FROM events WHERE event_id % 100 < 6 GROUP BY 1 HAVING count(DISTINCT event_id % 4) > 1")
-def write_cross_shard(s, d):
-    return write.cross_shard(s.read.parquet(f"{d}/events.parquet").where("event_id % 100 < 6").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("aggregate_id")))
+@query(f"""{_DECIDED}, done AS (SELECT shard_id, request_id, aggregate_id, op, version, event_seq FROM state WHERE code = 0 AND op IS NOT NULL)
+SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORDER BY request_id, aggregate_id) AS wal_seq, CASE op WHEN 'write' THEN 'event_batch' WHEN 'delete' THEN 'soft_delete' ELSE 'soft_trim' END AS kind, aggregate_id, version AS aggregate_version,
+  CASE WHEN op = 'write' THEN event_seq END AS max_event_seq FROM done""")
+def write_log(s, d):
+    """The log that the accepted requests make."""
+    made = items(s, d)
+    return write.log_rows(write.decisions(made), made).select("shard_id", "wal_seq", "kind", "aggregate_id", "aggregate_version", "max_event_seq")
 
 
-# schemas
+@query("SELECT user_id AS request_id, count(DISTINCT event_id % 4) AS shards, 9001 AS code FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 4) > 1")
+def write_cross_shard(s, d):
+    return write.crossing(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("aggregate_id")))
 
-_SCHEMA = '{"type": "object", "properties": {"k": {"type": "integer", "maximum": 80}}, "required": ["k"]}'
 
+# schemas
 
 def _registry(s, d) -> DataFrame:
     e = model.log_events(s.read.parquet(f"{d}/events.parquet"))
@@ -692,20 +735,14 @@ def schema_lookup(s, d):
     return schemas.lookup(model.log_events(s.read.parquet(f"{d}/events.parquet")), _registry(s, d)).select("event_id", "schema")
 
 
-@query(f"""{M}, {_REGISTRY}, new AS (SELECT org_id, aggregate_type_id, event_type_major, event_type_minor, event_id AS wal_seq FROM log_event WHERE event_id % 20 = 1 OR event_id % 20 = 2)
+@query(f"""{M}, {_REGISTRY}, new AS (SELECT org_id, aggregate_type_id, event_type_major, event_type_minor, event_id AS wal_seq FROM log_event)
 SELECT n.*, CASE WHEN r.schema IS NOT NULL OR row_number() OVER (PARTITION BY n.org_id, n.aggregate_type_id, n.event_type_major, n.event_type_minor ORDER BY n.wal_seq) > 1 THEN 2020 ELSE 0 END AS code
 FROM new n LEFT JOIN reg r USING (org_id, aggregate_type_id, event_type_major, event_type_minor)""")
 def register_schema(s, d):
-    new = model.log_events(s.read.parquet(f"{d}/events.parquet")).where("event_id % 20 IN (1, 2)").select("org_id", "aggregate_type_id", "event_type_major", "event_type_minor", F.col("event_id").alias("wal_seq"))
+    new = model.log_events(s.read.parquet(f"{d}/events.parquet")).select("org_id", "aggregate_type_id", "event_type_major", "event_type_minor", F.col("event_id").alias("wal_seq"))
     return schemas.register(_registry(s, d), new).select(*new.columns, "code")
 
 
-@query("SELECT event_id, CASE WHEN user_id % 4 = 1 AND user_id % 3 = 1 AND event_type = 'click' AND event_id % 2 = 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) <= 80 ELSE true END AS valid FROM events")
-def schema_valid(s, d):
-    e = model.log_events(s.read.parquet(f"{d}/events.parquet"))
-    return schemas.validate(e, {(1, 1, 1, 0): _SCHEMA}).select("event_id", "valid")
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS last_digit FROM events")
 def json_payload(s, d):
     k = F.variant_get(F.parse_json("props"), "$.k", "bigint")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.plans.model import EPOCH_MS
+from eventloom.plans.model import EPOCH_MS, running
 
 
 def operations(wal: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def samples(events: DataFrame) -> DataFrame:
     """Hourly metrics of two hosts: one row an hour and host, however many events."""
     hour = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - EPOCH_MS) / 3_600_000).cast("long")
     hours = events.groupBy(hour.alias("tick")).agg(F.count(F.lit(1)).alias("n"))
-    hours = hours.withColumn("total", F.sum("n").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)))
+    hours = running(hours, "total", F.col("n"), [], F.floor(F.col("tick") / 1000), [F.col("tick")])
     t, h = F.col("tick"), F.col("host")
     rows = hours.select("tick", "total", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("host"))
     role = F.when(t % 50 == 13, 1).when(t % 40 < 2, 0).otherwise((F.floor(t / 100) % 2 == h).cast("int"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from eventloom.operators import errors
 
 MAX_LATENCY_MS = 2000
+#: Subscribers at a time, changes that wait for one of them, seconds without a change after which it gets a heartbeat.
+MOST_SUBSCRIBERS, MOST_WAITING, IDLE_SECONDS = 16_384, 10_000, 5.0
 RANKS = {"create": 0, "write": 1, "delete": 2, "trim": 3}
 
 
@@ -94,3 +98,58 @@ def projected(spark: SparkSession, path: str, schema, out: str, files: int | Non
 def deduplicated(rows: DataFrame, window: str = "90 seconds", time: str = "server_time", key: str = "event_id") -> DataFrame:
     """A stream without repeats of a key inside the window of server time."""
     return rows.withWatermark(time, window).dropDuplicatesWithinWatermark([key])
+
+
+class Subscribers:
+    """Fans a feed's merged changes out to subscribers on the driver: each has its conditions and a queue of bounded length.
+
+    publish() suits the sink of feed(). One that doesn't take its changes until MOST_WAITING wait for it is removed (its take() gives None from then on); one that has
+    had nothing for IDLE_SECONDS gets an empty list, the heartbeat. More than MOST_SUBSCRIBERS are refused.
+    """
+
+    def __init__(self, most: int = MOST_SUBSCRIBERS, waiting: int = MOST_WAITING, idle: float = IDLE_SECONDS, clock: Callable[[], float] = time.monotonic):
+        self.most, self.waiting, self.idle, self.clock = most, waiting, idle, clock
+        self._next = 0
+        self._of: dict[int, dict] = {}
+
+    def __len__(self) -> int:
+        return len(self._of)
+
+    def add(self, **conditions: Sequence | None) -> int:
+        """The subscriber's number. Conditions as in filtered()."""
+        if len(self._of) >= self.most:
+            raise errors.LogError(errors.TOO_MANY_SUBSCRIBERS, f"{self.most} subscribers")
+        self._next += 1
+        columns = {"orgs": "org_id", "types": "aggregate_type_id", "aggregates": "aggregate_id", "ops": "op"}
+        wanted = {columns[k]: frozenset(v) for k, v in conditions.items() if v is not None}
+        self._of[self._next] = {"wanted": wanted, "queue": deque(), "last": self.clock()}
+        return self._next
+
+    def remove(self, number: int) -> None:
+        self._of.pop(number, None)
+
+    def publish(self, rows: DataFrame | Iterable, batch: int = 0) -> None:
+        """Hands merged changes to all whose conditions they meet; they are streamed to the driver, a partition at a time."""
+        for row in rows.toLocalIterator() if isinstance(rows, DataFrame) else rows:
+            for number, subscriber in list(self._of.items()):
+                if all(row[c] in values for c, values in subscriber["wanted"].items()):
+                    if len(subscriber["queue"]) >= self.waiting:
+                        self.remove(number)
+                    else:
+                        subscriber["queue"].append(row)
+
+    def take(self, number: int) -> list | None:
+        """What waits for a subscriber, an empty list as a heartbeat, or None: nothing yet, or no longer subscribed (number not in)."""
+        subscriber = self._of.get(number)
+        if subscriber is None:
+            return None
+        now = self.clock()
+        if not subscriber["queue"] and now - subscriber["last"] < self.idle:
+            return None
+        out = list(subscriber["queue"])
+        subscriber["queue"].clear()
+        subscriber["last"] = now
+        return out
+
+    def __contains__(self, number: int) -> bool:
+        return number in self._of

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from eventloom.plans import catalog
+from eventloom.plans import catalog, records  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")

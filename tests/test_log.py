@@ -89,6 +89,8 @@ def fold(rows):
             s |= {"batch_count": s["batch_count"] + 1, "total_size": s["total_size"] + r[14], "max_version": max(s["max_version"], r[8]), "max_timestamp": max(s["max_timestamp"], r[3]), "is_deleted": False}
         elif kind == "soft_delete":
             s |= {"batch_count": 0, "total_size": 0, "max_timestamp": max(s["max_timestamp"], r[3]), "is_deleted": True}
+            if not r[13]:
+                s["floor"] = 0  # of versions that are gone
         elif s is not None:
             s["floor"] = max(s["floor"], r[11])
     return s
@@ -101,51 +103,107 @@ def test_summaries_and_their_merge_are_the_fold(spark):
         for i in range(1, rng.randint(2, 9)):
             seq, segment = aggregate * 100 + i, 1 + i // 3
             kind = rng.choice(("event_batch",) * 4 + ("soft_delete", "soft_trim"))
-            rows.append(batch(seq, aggregate, version=i, size=i * 7, log_id=segment) if kind == "event_batch" else tomb(seq, kind, aggregate, keep=i if kind == "soft_trim" else None, continues=False, log_id=segment))
+            rows.append(batch(seq, aggregate, version=i, size=i * 7, log_id=segment) if kind == "event_batch" else tomb(seq, kind, aggregate, keep=i if kind == "soft_trim" else None, continues=rng.random() < 0.5, log_id=segment))
     wal = log(spark, rows)
     want = {a: fold([r for r in rows if r[7] == a]) for a in range(60)}
     want = {a: s for a, s in want.items() if s}
     got = {r["aggregate_id"]: {k: r[k] for k in next(iter(want.values()))} for r in listing.aggregates(wal, include_deleted=True).collect()}
     assert got == want
-    parts = listing.merge(listing.summary(wal, "log_id"))
-    for r in parts.collect():
-        assert {k: r[k] for k in ("batch_count", "total_size", "max_version", "max_timestamp", "is_deleted")} == {k: want[r["aggregate_id"]][k] for k in ("batch_count", "total_size", "max_version", "max_timestamp", "is_deleted")}
+    merged = {r["aggregate_id"]: {k: r[k] for k in next(iter(want.values()))} for r in listing.merge(listing.partials(wal, "log_id")).collect()}
+    assert merged == want
 
 
-COMMANDS = write.COMMAND_SCHEMA
+ITEMS = write.ITEM_SCHEMA
 
 
-def command(i, op, aggregate=1, client=100, first=1, n=1, kind=1, create=True, expected=None, keep=0, recreate=True, continues=False):
-    return (i, op, aggregate, client, first, n, kind, create, expected, keep, recreate, continues)
+def item(i, op, aggregate=4, client=100, first=1, n=1, kind=1, create=True, expected=None, keep=0, recreate=True, continues=False, valid=True, enforce=True, durable=None):
+    return (i, op, aggregate, client, first, n, kind, valid, enforce, create, expected, keep, recreate, continues, durable)
 
 
-def decide(spark, *rows):
-    got = write.decisions(spark.createDataFrame(list(rows), COMMANDS)).orderBy("command_id").collect()
+def decide(spark, *rows, **more):
+    got = write.decisions(spark.createDataFrame(list(rows), ITEMS), **more).orderBy("request_id", "aggregate_id").collect()
     return [(r["code"], r["aggregate_version"], r["event_seq"]) for r in got]
 
 
 def test_write_decisions_one_by_one(spark):
     assert decide(
         spark,
-        command(1, "write"), command(2, "write"), command(3, "write", first=2), command(4, "write", client=200), command(5, "write", first=3, expected=9), command(6, "write", first=3, expected=3),
-        command(7, "write", n=0), command(8, "write", kind=0), command(9, "write", aggregate=5, create=False), command(10, "write", aggregate=5, expected=0),
+        item(1, "write"), item(2, "write"), item(3, "write", first=2), item(4, "write", client=200), item(5, "write", first=3, expected=9), item(6, "write", first=3, expected=3),
+        item(7, "write", n=0), item(8, "write", kind=0), item(9, "write", aggregate=8, create=False), item(10, "write", aggregate=8, expected=0),
     ) == [(0, 1, 1), (2002, 1, 1), (0, 2, 2), (0, 3, 3), (2003, 3, 3), (0, 4, 4), (2000, 4, 4), (2001, 4, 4), (2005, 0, 0), (0, 1, 1)]
 
 
 def test_trims_and_deletes(spark):
     assert decide(
         spark,
-        command(1, "trim"), command(2, "delete"), command(3, "write"), command(4, "write", first=2), command(5, "trim", keep=9), command(6, "trim", keep=2), command(7, "delete", expected=1),
-        command(8, "delete", expected=2, continues=True), command(9, "delete"), command(10, "write", first=1), command(11, "write", first=3),
+        item(1, "trim"), item(2, "delete"), item(3, "write"), item(4, "write", first=2), item(5, "trim", keep=9), item(6, "trim", keep=2), item(7, "delete", expected=1),
+        item(8, "delete", expected=2, continues=True), item(9, "delete"), item(10, "write", first=1), item(11, "write", first=3),
     ) == [(3000, 0, 0), (4000, 0, 0), (0, 1, 1), (0, 2, 2), (3004, 2, 2), (0, 2, 2), (4002, 2, 2), (0, 2, 2), (4000, 2, 2), (2002, 2, 2), (0, 3, 3)]
-    assert decide(spark, command(1, "write"), command(2, "delete", recreate=False), command(3, "write", first=2)) == [(0, 1, 1), (0, 1, 1), (2006, 1, 1)]
-    assert decide(spark, command(1, "write"), command(2, "write", first=2), command(3, "delete"), command(4, "write", first=3)) == [(0, 1, 1), (0, 2, 2), (0, 2, 2), (0, 1, 1)]
+    assert decide(spark, item(1, "write"), item(2, "delete", recreate=False), item(3, "write", first=2)) == [(0, 1, 1), (0, 1, 1), (2006, 1, 1)]
+    # anew: another client begins at 1, one that comes back goes on past its own last version
+    assert decide(spark, item(1, "write"), item(2, "write", first=2), item(3, "delete"), item(4, "write", client=200), item(5, "write", first=3)) == [(0, 1, 1), (0, 2, 2), (0, 2, 2), (0, 1, 1), (0, 3, 2)]
+
+
+def test_requests_are_atomic(spark):
+    """Of a request with several items none is applied if one fails; streams of single items and of several agree."""
+    two = [item(1, "write", 4), item(2, "write", 8), item(3, "write", 4, first=2), item(3, "write", 8, first=2, expected=7), item(4, "write", 4, first=2), item(4, "write", 8, first=2), item(5, "delete", 4), item(5, "delete", 8, expected=1), item(6, "write", 4, first=3)]
+    assert decide(spark, *two) == [(0, 1, 1), (0, 1, 1), (2003, 1, 1), (2003, 1, 1), (0, 2, 2), (0, 2, 2), (4002, 2, 2), (4002, 2, 2), (0, 3, 3)]
+    assert decide(spark, item(1, "write", 4), item(1, "write", 5), item(2, "write", 5, first=1)) == [(9001, None, None), (9001, None, None), (0, 1, 1)]
+
+
+def test_replays_payloads_and_durability(spark):
+    assert decide(
+        spark,
+        item(1, "write"), item(2, "write", enforce=False), item(3, "write", durable=1), item(4, "write", durable=2), item(5, "write", first=2, valid=False), item(6, "write", first=2),
+    ) == [(0, 1, 1), (0, 2, 2), (2013, 2, 2), (2002, 2, 2), (2022, 2, 2), (0, 3, 3)]
+
+
+def test_decisions_go_on_from_a_log_and_become_its_rows(spark, tmp_path):
+    before = log(spark, [batch(1, 4, events=((1, 1), (2, 2))), batch(2, 4, version=2, events=((3, 3),)), batch(3, 8), tomb(4, "soft_delete", 8, continues=False), batch(1, 5)])
+    rows = [item(10, "write", 4, client=5, first=3), item(11, "write", 4, client=5, first=4, n=2, expected=2), item(12, "write", 8, client=6), item(13, "write", 8, client=5, first=2), item(14, "trim", 4, keep=3), item(15, "delete", 5)]
+    items = spark.createDataFrame(rows, ITEMS)
+    decided = write.decisions(items, write.known(before))
+    assert [(r["code"], r["aggregate_version"], r["event_seq"]) for r in decided.orderBy("request_id").collect()] == [(2002, 2, 3), (0, 3, 5), (0, 1, 1), (0, 2, 2), (0, 3, 5), (0, 1, 1)]
+    event = "array<struct<client_seq: bigint, event_seq: bigint, event_id: bigint, event_timestamp: bigint, event_type_major: bigint, event_type_minor: bigint, amount: bigint, props: string>>"
+    content = [(r[0], r[2], 1, 1, r[3], 9, 2000 + r[0], r[11] if r[1] == "trim" else None, True if r[1] == "delete" else None, False if r[1] == "delete" else None, 100 if r[1] == "write" else None, [(r[4] + i, None, 7, 1, 3, 0, 10, None) for i in range(r[5])] if r[1] == "write" else None) for r in rows]
+    content = spark.createDataFrame(content, f"request_id bigint, aggregate_id bigint, org_id bigint, aggregate_type_id bigint, client_id bigint, user_id bigint, server_timestamp bigint, keep_from bigint, allow_recreate boolean, allow_continuation boolean, size bigint, events {event}")
+    new = write.log_rows(decided, content, before.groupBy("shard_id").agg(F.max("wal_seq").alias("wal_seq")))
+    assert sorted((r["shard_id"], r["wal_seq"], r["kind"], r["aggregate_id"], r["aggregate_version"], r["max_event_seq"]) for r in new.collect()) == [
+        (0, 5, "event_batch", 4, 3, 5), (0, 6, "event_batch", 8, 1, 1), (0, 7, "event_batch", 8, 2, 2), (0, 8, "soft_trim", 4, 3, None), (1, 2, "soft_delete", 5, 1, None)]
+    store = Store(spark, f"{tmp_path}/log")
+    store.append(before)
+    store.commit()
+    store.append(new.select(before.columns))
+    store.commit()
+    assert versions(read.guarded(store.wal(), 8)) == [1, 2] and versions(read.guarded(store.wal(), 4, ReadFilters(from_version=3))) == [3]
+    with pytest.raises(errors.LogError, match="1001"):
+        read.guarded(store.wal(), 5)
 
 
 def test_compaction_keeps_what_can_be_read(spark):
     rows = [batch(1), batch(2, version=2), tomb(3, "soft_trim", keep=2), batch(4, 2), tomb(5, "soft_delete", 2, continues=False), batch(6, 2, version=2), batch(7, 3), tomb(8, "soft_delete", 3, continues=True), batch(9, 3, version=2), batch(10, 6), tomb(11, "soft_delete", 6, continues=True)]
-    marked = compact.marked(log(spark, rows))
-    assert sorted(r["wal_seq"] for r in marked.where("keep").collect()) == [2, 3, 5, 6, 7, 8, 9, 11]
+    # trimmed at 4, deleted, made anew: the old floor is of other versions
+    rows += [batch(20 + i, 7, version=i) for i in range(1, 6)] + [tomb(26, "soft_trim", 7, keep=4), tomb(27, "soft_delete", 7, continues=False)] + [batch(27 + i, 7, version=i) for i in range(1, 4)]
+    wal = log(spark, rows)
+    kept = lambda df: sorted(r["wal_seq"] for r in df.where("keep").collect())
+    assert kept(compact.marked(wal)) == [2, 3, 5, 6, 8, 9, 11, 26, 27, 28, 29, 30]
+    assert kept(compact.marked(wal, continued=True)) == [2, 3, 5, 6, 7, 8, 9, 11, 26, 27, 28, 29, 30]
+    small = compact.marked(wal, continued=True).where("keep").drop("keep")
+    assert sorted(r["wal_seq"] for r in read.live(small).collect()) == sorted(r["wal_seq"] for r in read.above_floor(read.live(wal), read.floors(wal)).collect())
+
+
+def test_incarnations(spark):
+    """Reads see the last incarnation only, with its own floor."""
+    rows = [batch(i, 4, version=i) for i in range(1, 6)] + [tomb(6, "soft_trim", 4, keep=4), tomb(7, "soft_delete", 4, continues=False), batch(8, 4, version=1, events=((9, 1),)), batch(9, 4, version=2, events=((10, 2),))]
+    rows += [batch(20, 8), tomb(21, "soft_delete", 8, continues=True), batch(22, 8, version=2), tomb(23, "soft_trim", 8, keep=2), batch(30, 12), tomb(31, "soft_delete", 12, continues=True)]
+    wal = log(spark, rows)
+    assert versions(read.guarded(wal, 4)) == [1, 2]
+    state = {r["aggregate_id"]: r for r in read.state(wal).collect()}
+    assert (state[4]["min_version"], state[4]["max_version"], state[4]["max_event_seq"], state[4]["is_deleted"]) == (1, 2, 2, False)
+    assert (state[8]["min_version"], state[8]["max_version"]) == (2, 2) and state[12]["is_deleted"] and state[12]["max_version"] == 1
+    assert sorted((r["aggregate_id"], r["aggregate_version"]) for r in read.read(wal).collect()) == [(4, 1), (4, 2), (8, 1), (8, 2)]
+    assert {r["aggregate_id"]: (r["code"], r["floor"]) for r in read.answers(wal).collect()} == {4: (0, 0), 8: (1000, 2), 12: (1001, 0)}
+    assert versions(read.with_payloads(wal, ReadFilters(min_client_seq=10))) == [2]
 
 
 def test_chain_breaks_are_found_across_windows(spark):
@@ -154,6 +212,17 @@ def test_chain_breaks_are_found_across_windows(spark):
     assert chain.breaks(made).count() == 0
     bad = made.withColumn("content", F.when(F.col("wal_seq") == 7, F.lit("x")).otherwise(F.col("content")))
     assert [r["wal_seq"] for r in chain.breaks(bad).collect()] == [7]
+    # a chain that lost its head, or a row
+    assert [r["wal_seq"] for r in chain.breaks(made.where("wal_seq > 2")).collect()] == [3]
+    tip = made.where("wal_seq = 2").first()
+    assert chain.breaks(made.where("wal_seq > 2"), {1: (3, tip["tip"])}).count() == 0
+    assert [r["wal_seq"] for r in chain.breaks(made.where("wal_seq <> 9")).collect()] == [10]
+    # following another node: cut back, then theirs as far as it can be followed
+    theirs = chain.made(wal.withColumn("server_timestamp", F.col("server_timestamp") + (F.col("wal_seq") > 5).cast("long")))
+    got = chain.reconciled(made, theirs).orderBy("wal_seq").collect()
+    assert [r["tip"] for r in got] == [r["tip"] for r in theirs.orderBy("wal_seq").collect()] and chain.truncated(made, theirs).count() == 5
+    assert chain.reconciled(made, theirs.where("wal_seq <> 20")).count() == 19
+    assert chain.reconciled(made.limit(0), theirs.where("wal_seq > 1")).count() == 0
 
 
 def test_store_commits_once_and_reads_what_is_visible(spark, tmp_path):
@@ -237,3 +306,68 @@ def test_checkers_beyond_what_is_broadcast(spark, monkeypatch):
     monkeypatch.undo()
     late = spark.createDataFrame([(1, n, t, 1, 2) for n, t in ((1, 40_396), (2, 40_397))] + [(2, n, 40_398, 1, 2) for n in (1, 2)], probes.schema)
     assert [r["probe_id"] for r in checkers.ryw(late, many).collect()] == [2]
+
+
+def test_scalars_and_segments(spark):
+    import uuid
+
+    rows = spark.createDataFrame([("a",), ("Ärger",)], "name string").select("name", scalars.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("name")).alias("id")).collect()
+    assert all(r["id"] == str(uuid.uuid5(uuid.NAMESPACE_DNS, r["name"])) for r in rows)
+    wal = log(spark, [batch(i, 4, version=i, size=s) for i, s in enumerate((40, 40, 40, 500, 40), 1)])
+    got = {r["wal_seq"]: r["log_id"] for r in model.rotated(wal, 100, bucket_rows=2).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 2, 5: 7}
+
+
+def test_subscribers():
+    now = [0.0]
+    group = watch.Subscribers(most=2, waiting=3, clock=lambda: now[0])
+    first, second = group.add(orgs=[1], ops=["write"]), group.add()
+    with pytest.raises(errors.LogError, match="8005"):
+        group.add()
+    change = lambda org, op: {"org_id": org, "aggregate_type_id": 1, "aggregate_id": 1, "op": op}
+    group.publish([change(1, "write"), change(2, "write"), change(1, "trim")])
+    assert group.take(first) == [change(1, "write")] and group.take(first) is None
+    now[0] = 6.0
+    assert group.take(first) == []  # a heartbeat
+    group.publish([change(2, "write")])
+    assert second not in group and group.take(second) is None and len(group) == 1  # it didn't keep up
+
+
+def test_cli(spark, tmp_path, capsys):
+    from eventloom import cli
+    from eventloom.sources import inline
+
+    store = Store(spark, f"{tmp_path}/log")
+    store.append(log(spark, [batch(1, 4), batch(2, 8, version=1), tomb(3, "soft_delete", 8, continues=False)]))
+    store.commit()
+    run = lambda *args: cli.main(["--log", f"{tmp_path}/log", "--json", *args], spark)
+    assert run("orgs") == 0 and capsys.readouterr().out == '{"org_id":1}\n'
+    assert run("aggregates") == 0 and '"aggregate_id":4' in capsys.readouterr().out
+    assert run("read", "8") == 1 and "1001" in capsys.readouterr().err
+    assert run("details", "8") == 0 and '"is_deleted":true' in capsys.readouterr().out
+    schema = '{"type": "object", "required": ["a"]}'
+    assert run("check", "--schema", schema, "--data", '[{"client_seq": 1, "event_value": {"a": 2}}, {"client_seq": 2, "event_value": "{}"}]') == 0
+    assert capsys.readouterr().out.splitlines() == ['{"client_seq":1,"valid":true}', '{"client_seq":2,"valid":false}']
+    (tmp_path / "e.json").write_text('{"client_seq": 1, "event_value": "x"}\n{"client_seq": 2, "event_type_minor": 3}\n')
+    rows = inline.events_from_file(spark, f"{tmp_path}/e.json").collect()
+    assert [(r["client_seq"], r["event_value"], r["event_type_minor"]) for r in rows] == [(1, "x", 0), (2, None, 3)] == [(r["client_seq"], r["event_value"], r["event_type_minor"]) for r in inline.events_from_text(spark, (tmp_path / "e.json").read_text()).collect()]
+
+
+def test_segments_are_pruned(spark, tmp_path):
+    """A read of one segment lists its folder only, and a predicate on an aggregate reaches the scan."""
+    store = Store(spark, f"{tmp_path}/log")
+    store.append(log(spark, [batch(i, 4 * i, log_id=1 + i // 10) for i in range(1, 40)]))
+    plan = store.written().where("shard_id = 0 AND log_id = 2 AND aggregate_id = 48")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard_id" in plan and "log_id" in plan.split("PartitionFilters")[1].split("]")[0] and "EqualTo(aggregate_id,48)" in plan
+    assert len({r[0] for r in store.written().where("log_id = 2").select(F.input_file_name()).collect()}) < len({r[0] for r in store.written().select(F.input_file_name()).collect()})
+
+
+def test_stretches_of_ticks_change_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(host, t, t * 10 + host, rng.random() < 0.95, role, t, t + rng.randint(0, 9) + (0 if role else 6)) for t in range(120) for host, role in ((0, int(t % 11 > 2)), (1, 0))]
+    samples = spark.createDataFrame(rows, "host long, tick long, t_ms long, ok boolean, role int, write_seq long, read_seq long")
+    got = []
+    for stretch in (1000, 7):
+        monkeypatch.setattr(checkers, "STRETCH", stretch)
+        got.append((sorted(map(tuple, checkers.never_ahead(samples).collect())), checkers.longest_gap(samples).collect()))
+    assert got[0] == got[1] and got[0][0]
