@@ -11,15 +11,16 @@ the first n - ceil(0.75 n) + 1 of each (the prefix). The order puts frequent shi
 3. Documents with equal prefix and size are one group. Each task packs the prefixes of its groups into one
    array for each range of shingles; the arrays are shuffled by range, and sorting one gives, for each
    shingle, the groups that have it. All of them go to the bundle of the first one. Pairs are never written.
-   Within a shingle's groups a bundle ends where sizes differ too much to link.
-4. Bundles are expanded to the distinct sets of their groups. A bundle with more than BLOCK_SHINGLES
-   shingles is dealt out to several blocks, each with the sets of the first group. In the others, a set stays
+   Within a shingle's groups a bundle ends where sizes differ too much to link. Shingles of class HOT and above don't meet in
+   a range: each makes bundles of its own, one for each size class (sizes of two that follow one another can link, so a group is in two).
+4. Bundles are expanded to the distinct sets of their groups. A bundle of more than BLOCK_ROWS sets, or with more than BLOCK_SHINGLES
+   shingles, is dealt out to several blocks, each with a few sets of the bundle (hubs) besides its own. In the others, a set stays
    only if its bitmap (two bits or more a shingle, by hash) leaves room for enough common shingles with
    another one: a bit of A that B lacks is a shingle of A that B lacks, so no link is lost.
 5. The sets of a block are verified in one task: exact intersections, links as a spanning forest. Where a
-   bundle had several blocks, sets that aren't yet linked to the largest class are compared with every
-   block in a second round. So each pair that shares a prefix shingle is either verified or known to be in
-   one component.
+   bundle had several blocks, sets that aren't linked to its largest class by then meet every
+   block in a second round, BLOCK_ROWS of them at a time: first by bitmaps alone, then, where these leave room for a link, exactly. So each pair that
+   shares a prefix shingle is either verified or known to be in one component.
 6. Components of the links, with equal sets linked to their smallest id.
 
 Null, empty and blank texts have an empty set and link with nothing. Rows with equal doc_id count as one
@@ -36,15 +37,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, runs, ship
+from eventloom.llm.common import Scratch, cut, runs, ship, unused
 from eventloom.llm.components import components
 from eventloom.llm.hashing import mix, shingle_sets
 
 WIDTH, PERCENT = 5, 75
 #: Frequent shingles that the order knows, and how often a shingle must be counted to be one.
 MOST_FREQUENT, FREQUENT = 1 << 18, 16
-#: Shingles a task counts at a time, entries of a shuffled array, shingles of a block, ids that may be broadcast.
-COUNT_CHUNK, PACK_CHUNK, BLOCK_SHINGLES, BROADCAST_IDS = 1 << 21, 1 << 19, 1 << 20, 1 << 20
+#: Class of shingles (the logarithm of how often they were counted) from which each has bundles of its own.
+HOT = 17
+#: Shingles a task counts at a time, entries of a shuffled array, ids that may be broadcast.
+COUNT_CHUNK, PACK_CHUNK, BROADCAST_IDS = 1 << 21, 1 << 19, 1 << 20
+#: Sets of a block, shingles of all of them, and hubs that go to every block of a bundle (on average).
+BLOCK_ROWS, BLOCK_SHINGLES, HUBS = 128, 1 << 20, 4
 
 Sets = Iterator[tuple[int, np.ndarray, np.ndarray]]
 
@@ -131,8 +136,27 @@ def profile(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], key: str = "d
     return docs.select(key, docs[text].alias("__text")).mapInArrow(run, f"`{key}` {kind}, n bigint, k1 bigint, k2 bigint, g bigint, prefix binary, bits binary")
 
 
-def _bundles(groups: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """leader, member: groups that share a prefix shingle, under the first of them. groups: g, n, prefix."""
+def _bundles(groups: DataFrame, ranges: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """leader, member: groups that share a prefix shingle, under the first of them, or under a number made from the shingle if it is hot (sorted). groups: g, n, prefix."""
+
+    def _is_hot(token: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(hot, token)
+        at[at == len(hot)] = 0
+        return hot[at] == token
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            size = np.floor(np.log(n) / np.log(100 / percent)).astype(np.uint64)
+            for low in range(0, len(g), 512):
+                parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2).slice(low, 512)]
+                owner = np.repeat(np.arange(low, low + len(parts)), [len(p) for p in parts])
+                token = np.concatenate(parts)
+                here = _is_hot(token)
+                owner, token = owner[here], token[here]
+                # sizes that link are of one class, or of two that follow one another
+                leader = np.concatenate([mix(mix(token) ^ (size[owner] + np.uint64(k))) for k in (0, 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(leader.view(np.int64)), pa.array(np.concatenate([g[owner]] * 2))], ["leader", "member"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, sizes, held = [], [], [], 0
@@ -151,6 +175,8 @@ def _bundles(groups: DataFrame, ranges: int, percent: int) -> DataFrame:
             prefix = batch.column(2)
             for low in range(0, len(g), 512):
                 parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in prefix.slice(low, 512)]
+                if len(hot):
+                    parts = [p[~_is_hot(p)] for p in parts]
                 length = [len(p) for p in parts]
                 tokens += parts
                 owners.append(np.repeat(g[low : low + 512], length))
@@ -194,7 +220,10 @@ def _bundles(groups: DataFrame, ranges: int, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["leader", "member"])
 
     packed = groups.select("g", "n", "prefix").mapInArrow(pack, "r bigint, token binary, g binary, n binary")
-    return packed.repartition(ranges, "r").mapInArrow(gather, "leader bigint, member bigint").groupBy("leader", "member").agg(F.count(F.lit(1)).alias("shared")).select("leader", "member")
+    found = packed.repartition(ranges, "r").mapInArrow(gather, "leader bigint, member bigint")
+    if len(hot):
+        found = found.unionByName(groups.select("g", "n", "prefix").mapInArrow(direct, "leader bigint, member bigint"))
+    return found.distinct()
 
 
 def linked(sizes: np.ndarray, tokens: np.ndarray, hubs: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -225,8 +254,8 @@ def linked(sizes: np.ndarray, tokens: np.ndarray, hubs: np.ndarray | None, perce
     return edges
 
 
-def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
-    """Which sets have another one that they may link with, by their bitmaps."""
+def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int, side: np.ndarray | None = None, component: np.ndarray | None = None) -> np.ndarray:
+    """Which sets have another one that they may link with, by their bitmaps; if sides are given, one of the other side and of another component."""
     good = np.zeros(len(sizes), bool)
     width = np.array([len(x) for x in bitmaps])
     for w in np.unique(width):
@@ -239,14 +268,17 @@ def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarra
         for i in range(len(own) - 1):
             rest = rows[i + 1 :]
             most = np.minimum(n[i] - np.bitwise_count(rows[i] & ~rest).sum(1, dtype=np.int64), n[i + 1 :] - np.bitwise_count(rest & ~rows[i]).sum(1, dtype=np.int64))
-            hit = np.flatnonzero(100 * most >= percent * (n[i] + n[i + 1 :] - most))
+            hit = 100 * most >= percent * (n[i] + n[i + 1 :] - most)
+            if side is not None:
+                hit &= (side[own[i + 1 :]] != side[own[i]]) & (component[own[i + 1 :]] != component[own[i]])
+            hit = np.flatnonzero(hit)
             if len(hit):
                 good[own[i]] = True
                 good[own[i + 1 + hit]] = True
     return good
 
 
-def _survivors(rows: DataFrame, parts: int, percent: int) -> DataFrame:
+def _survivors(rows: DataFrame, percent: int) -> DataFrame:
     """leader, block, rep, k1, k2 of the sets that may link inside their bundle. rows: the same, n, bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,11 +288,27 @@ def _survivors(rows: DataFrame, parts: int, percent: int) -> DataFrame:
                 if good.any():
                     yield group.select(["leader", "block", "rep", "k1", "k2"]).filter(pa.array(good))
 
-    ordered = rows.select("leader", "block", "rep", "k1", "k2", "n", "bits").repartition(parts, "leader", "block").sortWithinPartitions("leader", "block")
+    ordered = rows.select("leader", "block", "rep", "k1", "k2", "n", "bits").repartition("leader", "block").sortWithinPartitions("leader", "block")
     return ordered.mapInArrow(run, "leader bigint, block bigint, rep bigint, k1 bigint, k2 bigint")
 
 
-def _verify(rows: DataFrame, parts: int, percent: int) -> DataFrame:
+def _visits(rows: DataFrame, percent: int) -> DataFrame:
+    """leader, block, rep, k1, k2, late of the sets that may link with one of the other kind (late or not) and of another component. rows: the same, component, n, bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 2):
+            late, component = group.column(5).to_numpy(), group.column(6).to_numpy()
+            if not late.any() or late.all():
+                continue
+            good = may_link(group.column(7).to_numpy(), group.column(8).to_pylist(), percent, late, component)
+            if good.any():
+                yield group.select(["leader", "block", "rep", "k1", "k2", "late"]).filter(pa.array(good))
+
+    ordered = rows.select("leader", "block", "rep", "k1", "k2", "late", "component", "n", "bits").repartition("leader", "block").sortWithinPartitions("leader", "block")
+    return ordered.mapInArrow(run, "leader bigint, block bigint, rep bigint, k1 bigint, k2 bigint, late bigint")
+
+
+def _verify(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: links within each block. rows: leader, block, rep, late (1: compare with all; no row of the block has it: compare all), blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,17 +326,21 @@ def _verify(rows: DataFrame, parts: int, percent: int) -> DataFrame:
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    ordered = rows.select("leader", "block", "rep", "late", "blob").repartition(parts, "leader", "block").sortWithinPartitions("leader", "block")
+    ordered = rows.select("leader", "block", "rep", "late", "blob").repartition("leader", "block").sortWithinPartitions("leader", "block")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id, one row for each row of docs. The key is a bigint."""
+    ship(docs.sparkSession)
+    with Scratch(docs.sparkSession) as work:
+        return cut(_join(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), key, width, percent, work))
+
+
+def _join(docs: DataFrame, key: str, width: int, percent: int, work: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     known = frequent(docs, "text", width)
-    made = cut(profile(docs, known, "id", "text", width, percent))
+    made = work.cut(profile(docs, known, "id", "text", width, percent))
     some = made.where("n > 0 AND id IS NOT NULL")
 
     # groups and the bundles that their prefixes make
@@ -296,25 +348,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = some.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     ranges = max(shuffles, int(entries // 4e6) + 1)
-    bundles = cut(_bundles(grouped, ranges, percent))
-    classes = cut(some.groupBy("g", "k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")))
+    hot = known[0][known[1] >= HOT]
+    bundles = work.cut(_bundles(work.cut(grouped) if len(hot) else grouped, ranges, percent, hot))
+    classes = work.cut(some.groupBy("g", "k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")))
     several = classes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     leaders = bundles.select("leader").distinct().select("leader", F.col("leader").alias("member")).unionByName(several.select(F.col("g").alias("leader"), F.col("g").alias("member"))).distinct()
-    members = bundles.unionByName(leaders).join(classes.select(F.col("g").alias("member"), "k1", "k2", "n", "rep"), "member").select("leader", (F.col("leader") == F.col("member")).alias("first"), "k1", "k2", "n", "rep")
-    # few bundles need several blocks (there are at most as many as BLOCK_SHINGLES goes into all members' shingles)
-    large = cut(members.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("blocks")).where("blocks > 1"))
+    members = work.cut(bundles.unionByName(leaders).join(classes.select(F.col("g").alias("member"), "k1", "k2", "n", "rep"), "member").select("leader", "k1", "k2", "n", "rep"))
+    # few bundles need several blocks (there are at most as many as a block's bounds go into all members)
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("long")
+    large = work.cut(members.groupBy("leader").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2")).alias("hub")).where("blocks > 1"))
     large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
-    zero = F.lit(0).cast("long")
-    placed = members.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    dealt = cut(placed.withColumn("block", F.explode(F.when(F.col("first") & (F.col("blocks") > 1), F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("k1", "k2"), "blocks"))))).select("leader", "block", "blocks", "rep", "k1", "k2"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    hub = (F.struct("k1", "k2") == F.col("hub")) | (F.pmod(F.xxhash64(F.lit(HUBS), "k1", "k2"), F.greatest(F.lit(1), F.floor(F.col("m") / HUBS))) == 0)
+    placed = members.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", one)).withColumn("home", F.pmod(F.xxhash64("k1", "k2"), "blocks"))
+    everywhere = F.when((F.col("blocks") > 1) & hub, F.sequence(zero, F.col("blocks") - 1)).otherwise(F.array("home"))
+    dealt = work.cut(placed.withColumn("block", F.explode(everywhere)).select("leader", "block", "home", "blocks", "rep", "k1", "k2"))
     bits = classes.select("k1", "k2", "n", "bits", "rep")
-    kept = cut(
-        _survivors(dealt.where("blocks = 1").join(bits, ["rep", "k1", "k2"]), ranges, percent)
+    kept = work.cut(
+        _survivors(dealt.where("blocks = 1").join(bits, ["rep", "k1", "k2"]), percent)
         .unionByName(dealt.where("blocks > 1").select("leader", "block", "rep", "k1", "k2"))
     )
 
     # the sets of the documents that stand for their class
-    needed = cut(kept.select("rep", "k1", "k2").distinct())
+    needed = work.cut(kept.select("rep", "k1", "k2").distinct())
     ids = needed.select(F.col("rep").alias("id")).distinct()
     chosen = docs.join(F.broadcast(ids), "id", "left_semi") if needed.count() <= BROADCAST_IDS else docs.join(ids, "id", "left_semi")
 
@@ -325,24 +381,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(starts) - 1), as_long(1), as_long(2), _blobs(found, starts)], ["rep", "k1", "k2", "blob"])
 
     of_rep = chosen.select("id", "text").mapInArrow(sets, "rep bigint, k1 bigint, k2 bigint, blob binary").dropDuplicates(["rep", "k1", "k2"])
-    links = cut(_verify(kept.join(of_rep, ["rep", "k1", "k2"]).withColumn("late", F.lit(-1).cast("long")), ranges, percent))
+    links = work.cut(_verify(kept.join(of_rep, ["rep", "k1", "k2"]).withColumn("late", F.lit(-1).cast("long")), percent))
 
     # second round, for bundles of several blocks: what isn't in the bundle's largest class meets every block
-    split = dealt.where("blocks > 1")
+    split = dealt.where("blocks > 1 AND block = home").select("leader", "home", "blocks", "rep", "k1", "k2")
     if not split.isEmpty():
-        so_far = cut(components(links))
-        placed = split.join(so_far.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        largest = placed.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("leader").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-        late = placed.join(largest, "leader").withColumn("late", (F.col("component") != F.col("main")).cast("long"))
-        stay = late.where("late = 0").select("leader", "block", "rep", "k1", "k2", "late").distinct()
-        move = late.where("late = 1").select("leader", "blocks", "rep", "k1", "k2", "late").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("leader", "block", "rep", "k1", "k2", "late")
-        again = _verify(stay.unionByName(move).join(of_rep, ["rep", "k1", "k2"]), ranges, percent)
-        links = cut(links.unionByName(again))
+        so_far = components(links, work=work).withColumnsRenamed({"node": "rep"})
+        placed = work.cut(split.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+        largest = placed.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("leader").agg(F.max_by("component", F.struct("m", "component")).alias("main"), (F.sum("m") - F.max("m")).alias("others")).where("others > 0")
+        late = placed.join(largest.select("leader", "main", F.ceil(F.col("others") / BLOCK_ROWS).cast("long").alias("turns")), "leader").join(bits, ["rep", "k1", "k2"])
+        away = F.col("component") != F.col("main")
+        upto = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
+        # a block's own sets are there for each turn; a late one goes to all blocks in its turn
+        columns = ["leader", "block", "rep", "k1", "k2", "late", "component", "n", "bits"]
+        stay = late.withColumn("turn", upto("turns")).withColumn("at", F.col("home")).withColumn("late", zero)
+        move = late.where(away).withColumn("turn", F.pmod(F.xxhash64("k2", "k1"), "turns")).withColumn("at", upto("blocks")).withColumn("late", one)
+        visits = stay.unionByName(move).withColumn("block", F.col("at") * F.col("turns") + F.col("turn")).select(*columns)
+        found = work.cut(_visits(visits, percent))
+        links = work.cut(links.unionByName(_verify(found.join(of_rep, ["rep", "k1", "k2"]), percent)))
 
     # rows of one id with several sets tie these together
     twice = some.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id")
     ties = some.join(twice, "id", "left_semi").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(ties))
+    found = components(links.unionByName(ties), work=work)
     placed = classes.join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").where("copies > 1 OR component IS NOT NULL").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = made.select("id", "n", "k1", "k2").join(placed, ["k1", "k2"], "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")))
@@ -351,15 +412,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs (all columns) with one document of each component: the smallest id. Of rows with one id, the first by text stays; rows without an id stay."""
-    own = F.col(key).cast("long")
-    placed = cut(join(docs, key, text).select(F.col(key).alias("__id"), "component_id"))
-    gone = cut(placed.where("__id <> component_id").select("__id").distinct())
-    twice = cut(placed.where("__id IS NOT NULL").groupBy("__id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__id"))
+    helper, rank = unused(docs.columns, "__id", "__rank")
+    placed = join(docs, key, text).select(F.col(key).alias(helper), "component_id")
+    gone = cut(placed.where(F.col(helper) != F.col("component_id")).select(helper).distinct())
+    twice = cut(placed.where(F.col(helper).isNotNull()).groupBy(helper).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(helper))
     small = gone.count() + twice.count() <= BROADCAST_IDS
     side = lambda df: F.broadcast(df) if small else df
-    docs = docs.withColumn("__id", own)
-    kept = docs.join(side(gone), "__id", "left_anti")
+    kept = docs.withColumn(helper, F.col(key).cast("long")).join(side(gone), helper, "left_anti")
     if twice.isEmpty():
-        return kept.drop("__id")
-    first = kept.join(side(twice), "__id", "left_semi").withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy(text))).where("__rank = 1").drop("__rank")
-    return kept.join(side(twice), "__id", "left_anti").unionByName(first).drop("__id")
+        return kept.select(docs.columns)
+    first = kept.join(side(twice), helper, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(helper).orderBy(text))).where(F.col(rank) == 1)
+    return kept.join(side(twice), helper, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
