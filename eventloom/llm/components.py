@@ -79,7 +79,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", work: Scratch | Non
             turn += 1
             rank = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), c).alias("rank"), c.alias("node"))
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            first = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("best")).select(F.col("a").alias("b"), F.least("best", rank(F.col("a"))).alias("best"))
+            # written, so that the join reads two plain shuffles, which AQE can split at a hub
+            first = rounds.cut(both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("best")).select(F.col("a").alias("b"), F.least("best", rank(F.col("a"))).alias("best")))
             moves = rounds.cut(both.join(first, "b").groupBy("a").agg(F.min("best")["node"].alias("to")))
             of_a, of_b = moves.withColumnsRenamed({"to": "to_a"}), moves.withColumnsRenamed({"a": "b", "to": "to_b"})
             moved = edges.join(of_a, "a").join(of_b, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()

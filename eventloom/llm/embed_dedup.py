@@ -230,7 +230,7 @@ def _start(known: DataFrame, orders: range, floor: float, parts: int, bits: int)
     return coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("o", "label", "size", "id", "half").mapInArrow(pairs, _FOUND)
 
 
-def _merge(lists: DataFrame, found: DataFrame, floor: float, parts: int) -> DataFrame:
+def _merge(lists: DataFrame, found: DataFrame, floor: float) -> DataFrame:
     """_LISTS: each node's old list with what was found, cut to its length; that of the next merge is longer if it is saturated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +268,10 @@ def _merge(lists: DataFrame, found: DataFrame, floor: float, parts: int) -> Data
             )
 
     rows = lists.select("id", "half", "near", "sims", "k").unionByName(found.where("id IS NOT NULL").select("id", F.lit(None).cast("binary").alias("half"), "near", "sims", F.lit(None).cast("int").alias("k")))
-    return rows.repartition(parts, "id").sortWithinPartitions("id").select("id", "half", "near", "sims", "k").mapInArrow(run, _LISTS)
+    return rows.repartition("id").sortWithinPartitions("id").select("id", "half", "near", "sims", "k").mapInArrow(run, _LISTS)
 
 
-def _meet(lists: DataFrame, floor: float, parts: int, salt: int, work: Scratch) -> DataFrame:
+def _meet(lists: DataFrame, floor: float, salt: int, work: Scratch) -> DataFrame:
     """_FOUND from the groups of nodes that have the same node in their lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def _meet(lists: DataFrame, floor: float, parts: int, salt: int, work: Scratch)
     around = lists.select("id", "half", "least", entry).select(F.col("e.near").alias("center"), "id", F.col("e.fresh").alias("fresh"), "least", "half")
     around = around.join(F.broadcast(centers) if small else centers, "center")
     around = around.select("center", F.pmod(F.xxhash64(F.lit(salt), "id"), "parts").alias("part"), "id", "fresh", "least", "half")
-    return around.repartition(parts, "center", "part").sortWithinPartitions("center", "part", "id").mapInArrow(run, _FOUND)
+    return around.repartition("center", "part").sortWithinPartitions("center", "part", "id").mapInArrow(run, _FOUND)
 
 
 def _descend(known: DataFrame, orders: range, floor: float, parts: int, bits: int, work: Scratch) -> DataFrame:
@@ -310,16 +310,16 @@ def _descend(known: DataFrame, orders: range, floor: float, parts: int, bits: in
     nothing = lambda kind: F.array().cast(f"array<{kind}>")
     lists = known.select("id", "half", nothing("bigint").alias("near"), nothing("float").alias("sims"), F.lit(LIST).alias("k"))
     for turn in range(ROUNDS):
-        lists = work.cut(_merge(lists, found, floor, parts))
+        lists = work.cut(_merge(lists, found, floor))
         total, changed = lists.agg(F.sum(F.size("near")), F.sum("n_fresh")).first()
         if not total or changed <= CHANGED * total:
             break
-        found = work.cut(_meet(lists, floor, parts, orders.start * 100 + turn, work))
+        found = work.cut(_meet(lists, floor, orders.start * 100 + turn, work))
         seen = seen.unionByName(_joined(found))
     return seen
 
 
-def _exact(known: DataFrame, candidates: DataFrame, threshold: float, parts: int) -> DataFrame:
+def _exact(known: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """id, links, root: of each node of a class, counts of links to copies of others, to be summed over its rows; the smallest node that it is linked with, if the class is one block; otherwise rows
     without id have pairs that join what is linked (near), one after another."""
     each = F.least(F.greatest(F.col("n") / 16, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
@@ -379,7 +379,7 @@ def _exact(known: DataFrame, candidates: DataFrame, threshold: float, parts: int
         yield flush()
 
     keys = ["component", "i", "j"]
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).select(*keys, "right", "alone", "id", "copies", "raw").mapInArrow(run, "id bigint, links bigint, root bigint, near array<bigint>")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "right", "alone", "id", "copies", "raw").mapInArrow(run, "id bigint, links bigint, root bigint, near array<bigint>")
 
 
 #: No node has this number.
@@ -509,7 +509,7 @@ def _search(rows: DataFrame, key: str, vector: str, label: str, threshold: float
         of_label = work.cut(open_.select(F.col("id").alias("node"), "label", F.length("raw").alias("size")).join(least, ["label", "size"]).select("node", "component"))
         candidates = work.cut(candidates.join(of_label.select("node"), "node", "left_anti").unionByName(of_label))
         recalls.append(1.0)
-    exact = work.cut(_exact(known, candidates, threshold, parts))
+    exact = work.cut(_exact(known, candidates, threshold))
     counts = exact.where("id IS NOT NULL").groupBy("id").agg(F.sum("links").alias("links"), F.max("root").alias("root"))
     edges = _joined(exact)
     if ties is not None:
