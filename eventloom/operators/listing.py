@@ -125,6 +125,14 @@ def capped_client_sets(wal: DataFrame, most_bytes: int, each: int = 8, unknown:
     return sets.withColumn("known", F.sum("size").over(Window.partitionBy(*keys)) - saved <= most_bytes)
 
 
+def absent(keys: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Keys that none of the sources holds: their answers are united, so a key is absent only if all say so. Exact, where a filter of bits would be a superset."""
+    out = keys
+    for source in sources:
+        out = out.join(source.select(keys.columns), keys.columns, "left_anti")
+    return out
+
+
 def sampled(wal: DataFrame, n: int, seed: int) -> DataFrame:
     """A seeded sample of aggregates: those with the smallest hash."""
     ids = wal.select("aggregate_id").distinct()

@@ -10,7 +10,7 @@ from eventloom.operators import chain, checkers, listing, read, write
 from eventloom.operators.read import ReadFilters
 from eventloom.plans import model
 from eventloom.plans.catalog import _BATCH, _SCAN, BATCH, SCAN, H, L, M, T0, events, log, ops, query, samples, shared, wal
-from eventloom.sources import inline
+from eventloom.sources import inline, wire
 from eventloom.sources.store import Store, read_history, write_history
 from eventloom.streaming import watch
 
@@ -59,6 +59,19 @@ def store_round_trip(s, d):
     return store.wal().select("shard_id", "wal_seq", "kind", "aggregate_id", F.when(F.col("kind") == "event_batch", F.size("events")).cast("long").alias("n_events"))
 
 
+@query(f"{M} SELECT shard_id, log_id, wal_seq, kind FROM wal WHERE aggregate_id = 11 AND kind <> 'soft_trim'")
+def summary_pruned_read(s, d):
+    """An aggregate read from the segments that their stored summaries name, and from those written later."""
+    store = Store(s, f"{shared(s)}/store")
+    w = wal(s, d)
+    store.append(w.where("log_id < 2"))
+    store.commit()
+    store.write_summaries()
+    store.append(w.where("log_id >= 2"))
+    store.commit()
+    return store.of_aggregate(11).select("shard_id", "log_id", "wal_seq", "kind")
+
+
 @query(f"{M}, sized AS (SELECT *, sum(coalesce(size, 0)) OVER (PARTITION BY shard_id ORDER BY wal_seq) - coalesce(size, 0) AS bytes FROM wal) SELECT shard_id, wal_seq, CAST(bytes // 20000 AS BIGINT) + 1 AS segment FROM sized")
 def rotate_by_size(s, d):
     return model.rotated(wal(s, d), 20_000, "segment", bucket_rows=100).select("shard_id", "wal_seq", "segment")
@@ -81,6 +94,21 @@ def json_output(s, d):
     return inline.as_json(rows)
 
 
+@query("SELECT event_id, event_type, user_id, 3 AS version, 7 AS message_type FROM events")
+def wire_frames(s, d):
+    """Every event as a compressed frame, and read back from it."""
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id", "event_type", "user_id")
+    got = wire.decoded(wire.encoded(e, 7, compression=1))
+    return got.select(F.from_json("json", "event_id bigint, event_type string, user_id bigint").alias("e"), "version", F.col("message_type").cast("int").alias("message_type")).select("e.*", "version", "message_type")
+
+
+@query(f"{M}, k AS (SELECT DISTINCT aggregate_id, client_id FROM wal WHERE kind = 'event_batch') SELECT * FROM k WHERE (aggregate_id, client_id) NOT IN (SELECT aggregate_id, client_id FROM wal WHERE kind = 'event_batch' AND (log_id = 1 OR wal_seq % 3 = 0))")
+def absent_clients(s, d):
+    """Clients of an aggregate that none of several sources holds: not the first segment, not a cache of every third row."""
+    w = wal(s, d).where("kind = 'event_batch'")
+    return listing.absent(w.select("aggregate_id", "client_id").distinct(), w.where("log_id = 1"), w.where("wal_seq % 3 = 0"))
+
+
 # listings
 
 

@@ -80,6 +80,18 @@ class Store:
     def summaries(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/summary")
 
+    def of_aggregate(self, aggregate_id: int) -> DataFrame:
+        """An aggregate's visible batches and deletes, from the segments whose materialised summary has it; others aren't opened. Segments sealed after the summaries were written are read by their own statistics."""
+        known = self.summaries()
+        own = known.where(F.col("aggregate_id") == aggregate_id).select("shard_id", "log_id").distinct().collect()  # one row a segment
+        last = known.groupBy("shard_id").agg(F.max("log_id").alias("sealed"))
+        rows = self.wal().where((F.col("aggregate_id") == aggregate_id) & (F.col("kind") != "soft_trim"))
+        in_summary = F.lit(False)
+        for shard in {r["shard_id"] for r in own}:
+            in_summary |= (F.col("shard_id") == shard) & F.col("log_id").isin(*[r["log_id"] for r in own if r["shard_id"] == shard])
+        later = rows.join(F.broadcast(last), "shard_id", "left").where("sealed IS NULL OR log_id > sealed").drop("sealed")  # one row a shard
+        return rows.where(in_summary).unionByName(later.select(rows.columns))
+
     def compact(self, out: str) -> Store:
         """A store without dead batches, under another path."""
         from eventloom.operators.compact import marked

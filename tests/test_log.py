@@ -362,6 +362,19 @@ def test_segments_are_pruned(spark, tmp_path):
     assert len({r[0] for r in store.written().where("log_id = 2").select(F.input_file_name()).collect()}) < len({r[0] for r in store.written().select(F.input_file_name()).collect()})
 
 
+def test_columns_have_bloom_filters(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/log")
+    store.append(log(spark, [batch(i, 4 * i) for i in range(1, 40)]))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = set()
+    for name in store.written().inputFiles():
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf))
+        for block in reader.getFooter().getBlocks():
+            found |= {c.getPath().toDotString() for c in block.getColumns() if c.getBloomFilterOffset() > 0}
+        reader.close()
+    assert {"aggregate_id", "client_id"} <= found
+
+
 def test_stretches_of_ticks_change_nothing(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(host, t, t * 10 + host, rng.random() < 0.95, role, t, t + rng.randint(0, 9) + (0 if role else 6)) for t in range(120) for host, role in ((0, int(t % 11 > 2)), (1, 0))]
