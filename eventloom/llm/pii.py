@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -245,9 +246,11 @@ def find(text: str, disguised: bool = True) -> tuple[list[Span], list[Span]]:
     if not disguised:
         return own, own
     taken = sorted((low, high) for _, low, high in own)
+    starts, reach = [low for low, _ in taken], list(accumulate((high for _, high in taken), max))
     every = list(own)
     for kind, low, high in Transducer(text).spans():
-        if not any(a < high and low < b for a, b in taken):
+        before = bisect_left(starts, high)  # base spans that begin before the end of this one
+        if not before or reach[before - 1] <= low:
             every.append((kind, low, high))
     every.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
     return own, every
