@@ -61,7 +61,7 @@ class Counter:
             for part in self.parts(text) if text else ():
                 batch.append(part)
                 owners.append(owner)
-                size += len(part)
+                size += len(part) if part.isascii() else len(part.encode())
                 if size >= self.batch_bytes:
                     self._add(total, batch, owners)
                     batch, owners, size = [], [], 0
