@@ -3,8 +3,8 @@
 `statistics` makes DIM transformed statistics of each whole text in one pass over its bytes. `fit` adds up
 counts, sums and outer products of all labelled rows of each class (a few numbers from each task, so
 nothing grows with the data), shrinks each class covariance towards the pooled one and its own diagonal,
-and keeps the Cholesky factor of each. A score is the logistic function of the difference of the two
-Gaussian log-densities (Mahalanobis terms by triangular solves with the cached factors) plus log priors.
+and keeps the Cholesky factor of each with its inverse, both computed once. A score is the logistic function of the difference of the two
+Gaussian log-densities (Mahalanobis terms by a product with the cached inverse factors) plus log priors.
 
 Null texts count as empty; empty texts have statistics and a score like any other. Labels other than 0
 and 1, null labels and labels of unknown documents are left out. With no labelled rows, or of one class
@@ -107,21 +107,36 @@ def statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return docs.select(key, docs[text].alias("__text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, stats array<float>")
 
 
+def _inverse(factor: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangular matrix, by forward substitution."""
+    out = np.zeros_like(factor)
+    for i in range(len(factor)):
+        out[i] = -(factor[i, :i] @ out[:i])
+        out[i, i] += 1
+        out[i] /= factor[i, i]
+    return out
+
+
 @dataclass
 class Discriminant:
-    means: np.ndarray
-    factors: np.ndarray
-    log_prior: np.ndarray
+    means: np.ndarray | None
+    factors: np.ndarray | None
+    log_prior: np.ndarray | None
     share: float
+    inverse: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.factors is not None:
+            self.inverse = np.array([_inverse(factor) for factor in self.factors])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """The probability of class 1 for each row."""
         if self.factors is None:
             return np.full(len(x), self.share)
         logs = []
-        for mean, factor, prior in zip(self.means, self.factors, self.log_prior, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(prior - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(0))
+        for mean, factor, inverse, prior in zip(self.means, self.factors, self.inverse, self.log_prior, strict=True):
+            z = (x - mean) @ inverse.T
+            logs.append(prior - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(1))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
