@@ -3,8 +3,9 @@
 Headers (id, address, payload digest, size) are shuffled by digest, where partial aggregation keeps one
 row for each digest and task; of the records with equal payloads the smallest id is the original. Records
 are then joined to the originals and written as archives with fresh headers: a `response` holds the payload,
-a `revisit` only the HTTP headers and a reference to its original. Reading goes by Content-Length, as any
-WARC reader would, and checks each payload against its digest.
+a `revisit` only the HTTP headers and a reference to its original (its record, address and date). Reading goes by Content-Length, as any
+WARC reader would, and checks each payload against its digest; an archive is streamed, so that no more than one record of it
+is held, whatever its size. About ARCHIVE_BYTES of payload go into an archive on average.
 
 The originals of digests that occur more than once are broadcast if there are at most BROADCAST_ROWS of
 them; beyond that the join is by (digest, salt) with each of them repeated for every salt, so that a
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,9 +54,10 @@ def resolve(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     """id, url, payload, digest, size, and original, original_url (null for responses) of each page."""
     digest = base32_sha1(F.coalesce(pages[payload], F.lit("")))
     rows = pages.select(pages[key].cast("long").alias("id"), F.coalesce(pages[url], F.lit("")).alias("url"), F.coalesce(pages[payload], F.lit("")).alias("payload"), digest.alias("digest")).withColumn("size", F.octet_length("payload").cast("long"))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))  # of rows with the smallest id, the first address
     found = (
-        rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("id").alias("original"), F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") > 1) & F.col("original").isNotNull()).select("digest", "original")
+        rows.where(F.col("size") >= least).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", F.col("first.id").alias("original"), F.col("first.url").alias("original_url"))
     )
     found = cut(found)
     if found.count() <= BROADCAST_ROWS:
@@ -65,13 +66,14 @@ def resolve(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
         salt = F.pmod(F.xxhash64("id", "url"), F.lit(SALTS))
         joined = rows.withColumn("salt", salt).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["digest", "salt"], "left").drop("salt")
     revisit = F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original")) & (F.col("size") >= least)
-    return joined.withColumn("original", F.when(revisit, F.col("original")))
+    return joined.withColumns({"original": F.when(revisit, F.col("original")), "original_url": F.when(revisit, F.col("original_url"))})
 
 
 def record(date: str = "2024-01-01T00:00:00Z") -> Column:
     """The text of a record of `resolve`'s rows, but for the two line breaks that end it."""
     line = lambda name, *value: F.concat(F.lit(f"{name}: "), *value, F.lit(CRLF))
     urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    address = lambda c: F.regexp_replace(c, r"[\r\n]", " ")
     revisit = F.col("original").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), line("Content-Length", F.col("size").cast("string")), F.lit(CRLF))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -80,9 +82,12 @@ def record(date: str = "2024-01-01T00:00:00Z") -> Column:
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", urn(F.col("id"))),
         line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
+        line("WARC-Target-URI", address("url")),
         line("WARC-Payload-Digest", F.lit("sha1:"), F.col("digest")),
-        F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("original"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
+        F.when(
+            revisit,
+            F.concat(line("WARC-Refers-To", urn(F.col("original"))), line("WARC-Refers-To-Target-URI", address("original_url")), line("WARC-Refers-To-Date", F.lit(date)), line("WARC-Profile", F.lit(PROFILE))),
+        ).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.when(revisit, F.octet_length(http)).otherwise(F.octet_length(http) + F.col("size")).cast("string")),
         F.lit(CRLF),
@@ -110,7 +115,11 @@ def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         return True
 
     while True:
-        while (end := held.find(b"\r\n\r\n")) < 0:
+        while True:
+            while held.startswith(b"\r\n"):  # blank lines between records
+                del held[:2]
+            if (end := held.find(b"\r\n\r\n")) >= 0:
+                break
             if not want(len(held) + 1):
                 if held.strip():
                     raise ValueError("an archive ends inside a header")
@@ -127,32 +136,19 @@ def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[: size + 4]
 
 
-def inflate(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
-    """What a gzip file of one or more members holds, in parts."""
-    while data:
-        unzip = zlib.decompressobj(31)
-        for low in range(0, len(data), step):
-            if out := unzip.decompress(data[low : low + step]):
-                yield out
-            if unzip.eof:
-                data = unzip.unused_data + data[low + step :]
-                break
-        else:
-            return
-
-
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url; and payload (null for revisits) if asked for."""
     ship(spark)
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string" + (", payload binary" if payloads else "")
     try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+        # what stands between blank lines, in the order of each archive: put together again, it is the archive
+        pieces = spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
     number = lambda urn: int(urn[len(URN) + 1 : -1]) if urn and len(urn) > len(URN) + 2 else None
 
-    def parsed(content: pa.BinaryScalar) -> Iterator[dict]:
-        for headers, block in records(inflate(content.as_py())):
+    def parsed(stream: Iterator[bytes]) -> Iterator[dict]:
+        for headers, block in records(stream):
             head, _, body = block.partition(b"\r\n\r\n")
             size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
             digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
@@ -164,15 +160,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())] + ([("payload", pa.binary())] if payloads else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                held, size = [], 0
-                for row in parsed(content):
-                    held.append(row)
-                    size += row["payload_bytes"]
-                    if len(held) >= 5000 or payloads and size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(held, pa.schema(fields))
-                        held, size = [], 0
+        stream = (piece.encode() + b"\r\n\r\n" for batch in batches for piece in batch.column(0).to_pylist())
+        held, size = [], 0
+        for row in parsed(stream):
+            held.append(row)
+            size += row["payload_bytes"]
+            if len(held) >= 5000 or payloads and size > 8 << 20:
                 yield pa.RecordBatch.from_pylist(held, pa.schema(fields))
+                held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, pa.schema(fields))
 
-    return files.mapInArrow(run, schema)
+    return pieces.mapInArrow(run, schema)
