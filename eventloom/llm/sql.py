@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": OP3, "op6_chat_format": OP6}
+    return {"op3_warc_revisits": OP3, "op6_chat_format": OP6, "op7_nn_descent_dedup": OP7, "op8_ngram_jaccard": OP8}
 
 
 _DIGITS = " || ".join(
@@ -41,3 +41,34 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(text_chars + CASE WHEN opens = 1 THEN 20 + role_chars ELSE 5 END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+
+#: Every pair of a label by brute force. Where labels are small enough for the audit to see all of them, recall is 1.
+OP7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS x FROM embeddings
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least AS (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY 1
+), n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept, CAST(1 AS DOUBLE) AS audited_recall
+FROM v LEFT JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+#: Intersections of all pairs of distinct sets that share a shingle.
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: md5_number_lower(array_to_string(words[i:i + 4], ' '))))) WHEN len(words) > 0 THEN [md5_number_lower(array_to_string(words, ' '))] ELSE [] END AS found FROM w
+), sets AS (SELECT min(doc_id) AS rep, found, len(found) AS n FROM s WHERE len(found) > 0 GROUP BY found
+), t AS (SELECT rep, n, unnest(found) AS h FROM sets
+), pairs AS (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.h = b.h AND a.rep < b.rep AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), link AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least AS (SELECT a AS rep, min(b) AS c FROM reach GROUP BY 1)
+SELECT doc_id, len(s.found) AS n_shingles, CASE WHEN rep IS NULL THEN doc_id ELSE least(rep, coalesce(c, rep)) END AS component_id
+FROM s LEFT JOIN sets ON s.found = sets.found LEFT JOIN least USING (rep)
+"""
