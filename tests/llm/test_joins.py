@@ -13,7 +13,7 @@ import pytest
 
 import corpus_pipeline
 from eventloom.llm import decontam, embed_dedup, ngram_join, pii, toxicity, warc
-from eventloom.llm.common import runs, scratch
+from eventloom.llm.common import cut, runs, scratch, shared_dir, unused
 from eventloom.llm.components import components
 from eventloom.llm.hashing import shingle_sets
 
@@ -101,10 +101,14 @@ def corpus(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("block, chunk", [(1 << 20, 1 << 19), (300, 500)])
-def test_ngram_join_is_the_plain_one(spark, monkeypatch, block, chunk):
+@pytest.mark.parametrize("block, chunk, each, hot", [(1 << 20, 1 << 19, 256, 17), (300, 500, 256, 17), (1 << 20, 500, 4, 17), (1 << 20, 1 << 19, 256, 4), (300, 500, 5, 3)])
+def test_ngram_join_is_the_plain_one(spark, monkeypatch, block, chunk, each, hot):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(ngram_join, "PACK_CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "LEAST_ROWS", min(each, 64))
+    monkeypatch.setattr(ngram_join, "MOST_ROWS", each)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 8)
     rng = random.Random(block)
     rows = corpus(rng, 220)
     rows += [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "ONE two"), (905, "long " * 9000), (906, "long " * 9001), (None, "one two"), (None, None), (903, "one two"), (907, "alone"), (907, rows[0][1])]
@@ -132,9 +136,9 @@ def test_bitmaps_lose_no_link():
 
 def test_one_document_of_each_group_stays(spark):
     rows = [(3, "a b c d e f", 1), (1, "a b c d e f", 2), (2, "x y z", 3), (4, None, 4), (5, "", 5), (None, "q", 6), (2, "x y z", 7), (6, "k l m n o p q r", 8)]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string, component_id bigint")
+    frame = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id bigint, text string, component_id bigint, __id string, __rank string")
     kept = ngram_join.representatives(frame)
-    assert kept.columns == frame.columns
+    assert kept.columns == frame.columns and all(r["__id"] == "a" and r["__rank"] == "b" for r in kept.collect())
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 4, 5, 6, None], key=str)
 
 
@@ -173,7 +177,8 @@ def vectors(seed, n=260, dim=16):
 
 @pytest.mark.parametrize("block", [1024, 16])
 def test_nn_descent_finds_all_links(spark, monkeypatch, block):
-    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "LEAST_BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "MOST_BLOCK", block)
     rows = vectors(block)
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, label int, n_links int")
     found, recalls = embed_dedup.search(frame)
@@ -196,8 +201,7 @@ def test_what_descent_misses_is_compared_in_full(spark, monkeypatch, lost):
     descend = embed_dedup._descend
 
     def lossy(*args):
-        lists, seen = descend(*args)
-        return lists, seen.where("a < 110 AND b < 110" if lost == "isolated pairs" else "false")
+        return descend(*args).where("a < 110 AND b < 110" if lost == "isolated pairs" else "false")
 
     monkeypatch.setattr(embed_dedup, "_descend", lossy)
     monkeypatch.setattr(embed_dedup, "TRIES", 1)
@@ -206,6 +210,46 @@ def test_what_descent_misses_is_compared_in_full(spark, monkeypatch, lost):
     assert got == {rows[n][0]: x for n, x in plain_links(rows).items()} and recalls == [0.0, 1.0]
 
 
+@pytest.mark.parametrize("broadcast, part", [(1 << 20, 256), (0, 24)])
+def test_descent_finds_what_short_runs_of_a_large_label_miss(spark, monkeypatch, broadcast, part):
+    """A label of thousands against brute force: runs alone see a small share of its pairs, rounds find the links, nothing is compared in full."""
+    monkeypatch.setattr(embed_dedup, "BROADCAST", broadcast)
+    monkeypatch.setattr(embed_dedup, "PART", part)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((120, 32))
+    x = [rng.standard_normal((2200, 32)), *(c + rng.standard_normal((20, 32)) * 0.16 for c in centres), centres[0] + rng.standard_normal((400, 32)) * 0.1]
+    twins = rng.standard_normal((300, 32))
+    x = np.concatenate([*x, twins, twins + rng.standard_normal((300, 32)) * 0.15]).astype(np.float32)
+    order = rng.permutation(len(x))
+    x = x[order]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    np.fill_diagonal(link, False)
+    assert len(x) > 5000 and 2 * embed_dedup.RUN * embed_dedup.ORDERS * 2 < len(x) / 10
+    frame = spark.createDataFrame([(i, v.tolist(), 4) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    start = set()
+    with embed_dedup.Scratch(spark) as work:
+        known, _ = embed_dedup.nodes(frame, work)
+        for r in embed_dedup._joined(embed_dedup._start(known, range(embed_dedup.ORDERS), 0.926, 4, embed_dedup.BITS)).collect():
+            start.add((min(r), max(r)))
+    found, recalls = embed_dedup.search(frame)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    assert len(recalls) == 1 and recalls[0] >= 0.98
+    assert len(start) < 0.8 * link.sum() / 2
+    share = [got[i][0] / n for i, n in enumerate(link.sum(1)) if n]
+    assert np.mean(share) >= 0.98 and max(share) <= 1
+    for i in range(len(x)):
+        assert got[i][0] <= link[i].sum() and (got[i][0] > 0 or got[i][1] == i)
+
+
+def test_rows_of_one_id(spark):
+    """Equal rows are one vector; other vectors of an id have links of their own, and the id ties them."""
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.01, 1.0], 1), (3, [1.0, 0.0], 2), (1, [1.0, 0.0], 2), (4, [5.0, 0.01], 2), (5, [-1.0, 0.0], 1), (6, [1.0, 0.0], 1)]
+    found, _ = embed_dedup.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found.collect())
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 2, 1), (1, 2, 1), (4, 2, 1), (5, 0, 5), (6, 1, 1)])
+
+
 def test_nn_descent_of_nothing_and_of_null_ids(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert embed_dedup.search(spark.createDataFrame([], schema))[0].count() == 0
@@ -240,6 +284,24 @@ def test_revisits(spark, monkeypatch, broadcast):
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in got)
     assert {bytes(r["payload"]).decode() for r in got if r["payload"] is not None} == {(r[2] or "") for r in rows}
+    # a revisit names its original's address and when that was taken
+    resolved = warc.resolve(frame)
+    text = "".join(r[0] for r in resolved.where("original IS NOT NULL").select(warc.record()).collect())
+    assert text.count("WARC-Refers-To-Target-URI: ") == text.count("WARC-Refers-To-Date: ") == resolved.where("original IS NOT NULL").count()
+    of = {i: (url or "") for i, url, _, _ in rows if i is not None}
+    assert all(r["original_url"] == of[r["original"]] for r in resolved.where("original IS NOT NULL").collect())
+
+
+def test_pages_larger_than_an_archive(spark, monkeypatch):
+    """Archives are about so large on average; what is larger is read all the same, in parts."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 10_000)
+    rng = random.Random(4)
+    bodies = ["".join(rng.choice("ab\r\n") for _ in range(n)) for n in (3, 50, 120_000, 7, 300_000, 0, 90)]
+    frame = spark.createDataFrame([(i, "u", b) for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    path = scratch(spark, "warc-test")
+    warc.write_archives(warc.resolve(frame), path)
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, path, payloads=True).collect()}
+    assert got == dict(enumerate(bodies))
 
 
 def test_no_pages(spark):
@@ -268,7 +330,7 @@ def test_pipeline_against_plain_stages(spark):
     kept = spark.read.parquet(f"{d}/documents.parquet")
     columns, left = kept.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = corpus_pipeline.cut(stage(spark, kept, d))
+        kept = cut(stage(spark, kept, d))
         assert kept.columns == columns
         left[name] = {r["doc_id"]: r for r in kept.collect()}
     # 2: one of each group, by the plain join over what the first stage kept
@@ -287,13 +349,50 @@ def test_pipeline_against_plain_stages(spark):
     assert all(out[i]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() and out[i]["n_tokens"] == len(out[i]["ids"]) for i, r in left["pii"].items())
 
 
+def test_intermediate_tables_are_deleted(spark):
+    """Of a join, only the result stays in the shared folder."""
+    import os
+
+    folders = lambda: {f for f in os.listdir(shared_dir(spark)) if f.startswith("cut-")}
+    before = folders()
+    out = ngram_join.join(spark.createDataFrame([(i, "a b c d e f") for i in range(5)], "doc_id bigint, text string"))
+    assert len(folders() - before) == 1 and out.where("component_id = 0").count() == 5
+    found, _ = embed_dedup.search(spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 1)], "vec_id bigint, embedding array<float>, label int"))
+    assert len(folders() - before) == 2 and found.where("n_links = 1").count() == 2
+
+
+def test_names_that_no_column_has():
+    assert unused(["a", "__ID", "__id_"], "__id", "__id", "b") == ["__id__", "__id___", "b"]
+
+
+def test_queries_give_what_sql_gives(spark):
+    import duckdb
+
+    from eventloom.llm import queries, sql
+
+    d = Path("/root/testdata/sf0.001")
+    if not d.exists():
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    for path in d.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+    for name, text in sql.oracle_sql().items():
+        got, want = queries.queries()[name](spark, str(d)), con.sql(text)
+        columns = sorted(got.columns)
+        assert sorted(want.columns) == columns
+        plain = lambda rows, names: sorted(str([row[names.index(c)] for c in columns]) for row in rows)  # noqa: B023, E731
+        assert plain(got.collect(), got.columns) == plain(want.fetchall(), list(want.columns)), name
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "word", None), (None, "word two", "x")], "doc_id bigint, text string, __score string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").drop("__score")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "1 AS n_chars", "'a' AS __chars", "'b' AS __id", "'c' AS __text", "'d' AS component_id", "'e' AS label")
+    columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-    assert docs.count() == 4
+        assert docs.columns == columns
+    assert docs.count() == 4 and {r["__score"] for r in docs.collect()} == {"x", None} and {(r["__chars"], r["__id"], r["__text"]) for r in docs.collect()} == {("a", "b", "c")}
     assert decontam.clean(docs.limit(0), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == 0
     assert toxicity.Model(None, np.zeros(0), 0.0).scores(pa.array(["a", None])).tolist() == [0.0, 0.0]

@@ -87,6 +87,10 @@ def test_token_counts(spark):
     for _ in range(1500):
         text = "".join(rng.choice(["a", "the", " ", "  ", "é", "▁", ".", "\n", "12", "́"]) for _ in range(rng.randint(0, 40)))
         assert small.counts([text]) == [len(model.encode(text))], text
+    taken = []
+    small.model = type("Model", (), {"encode": lambda self, batch, num_threads: taken.append(sum(len(t.encode()) for t in batch)) or [[0]] * len(batch)})()
+    small.counts(["é" * 6] * 30)
+    assert all(n <= 20 + 12 for n in taken)  # by bytes, not by characters
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -166,6 +170,49 @@ def test_gate_loses_nothing(text):
     assert (own, every) == pii.find(text)
 
 
+def slow_transducer(text):
+    """Rewriting one place at a time, with a list of (character, first source character, end): the plain form of the transducer."""
+    cells = [(c, i, i + 1) for i, c in enumerate(text)]
+    cells = [(new, a, b) for c, a, b in cells for new in ([pii._ONE[ord(c)]] if ord(c) in pii._ONE else [c]) if new]
+    text_of = lambda: "".join(c for c, _, _ in cells)
+
+    def replaced(low, high, new):
+        return cells[:low] + [(c, cells[a][1], cells[b - 1][2]) for c, a, b in new] + cells[high:]
+
+    for pattern, made in ((pii._STEP, pii.Transducer._of_words), (pii._NUMBER_DOT, lambda m: [(".", m.start(), m.end())])):
+        for match in reversed(list(pattern.finditer(text_of()))):  # from the end, so that places before it stay
+            if new := made(match):
+                cells = replaced(match.start(), match.end(), new)
+    at = 0
+    while match := pii._SPOKEN_DOT.search(text_of(), at):
+        low = match.start()
+        while low and text_of()[low - 1] in pii._HOST_CHARACTERS:
+            low -= 1
+        if low and text_of()[low - 1] == "@":
+            cells = replaced(match.start(), match.end(), [(".", match.start(), match.end())])
+            at = match.start() + 1
+        else:
+            at = match.end()
+    return text_of(), [a for _, a, _ in cells], [b for _, _, b in cells]
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_the_transducer_is_the_plain_one(text):
+    fast = pii.Transducer(text)
+    made, begins, ends = slow_transducer(text)
+    assert (fast.text, fast.begins, fast.ends) == (made, begins, ends)
+
+
+def test_many_spans_stay_linear():
+    import time
+
+    text = "a@b.co joe at example dot com " * 20_000
+    began = time.perf_counter()
+    own, every = pii.find(text)
+    assert len(own) == 20_000 and len(every) == 40_000 and time.perf_counter() - began < 20
+
+
 def test_pii_frames(spark):
     texts = [*ODD, "a@b.co and 1.2.3.4", "+1 (988) 555-2485", "4111 1111 1111 1111", "joe at example dot com"]
     got = {r["doc_id"]: r for r in pii.digests(docs(spark, texts)).collect()}
@@ -248,6 +295,73 @@ def test_classifiers_without_labels_or_text(spark):
     assert np.isfinite(quality.matrix(pa.array(ODD))).all()
 
 
+@pytest.mark.parametrize("prior", [None, 0.2])
+def test_the_model_does_not_depend_on_partitions(spark, prior):
+    frame, labels = labelled(spark, 400)
+    frame = frame.unionByName(frame.limit(20))  # repeated rows
+    made = [toxicity.fit(frame.repartition(n, "text"), labels.where("toxic = 1").select("doc_id", "toxic").repartition(n), prior=prior) for n in (1, 8, 64)]
+    for other in made[1:]:
+        assert other.chosen.sorted.tolist() == made[0].chosen.sorted.tolist() and other.weights.tolist() == made[0].weights.tolist() and (other.bias, other.prior) == (made[0].bias, made[0].prior)
+    # without a label of 0 anywhere; a fifth of the text is toxic
+    assert 0.1 < made[0].prior < 0.35 and len(made[0].chosen.sorted) > 0
+
+
+def test_training_follows_the_plain_risk():
+    """Every step against the risk written out for a dense matrix, with its slope by differences."""
+    rng = np.random.default_rng(3)
+    n, k, prior, steps, rate, decay = 30, 6, 0.3, 25, 0.1, 1e-4
+    x = (rng.random((n, k)) < 0.4).astype(float)
+    positive, unlabelled = (np.arange(n) < 9).astype(float), (np.arange(n) >= 7).astype(float)
+    x[:9, 0] = 1
+
+    def parts(theta):
+        f = x @ theta[:-1] + theta[-1]
+        mean = lambda of, loss: (of * loss).sum() / of.sum()
+        lift = prior * mean(positive, np.log1p(np.exp(-f)))
+        below = mean(unlabelled, np.log1p(np.exp(f))) - prior * mean(positive, np.log1p(np.exp(f)))
+        return lift, below
+
+    def slope(g, theta):
+        return np.array([(g(theta + 1e-5 * e) - g(theta - 1e-5 * e)) / 2e-5 for e in np.eye(k + 1)])
+
+    theta, m, v = np.append(np.zeros(k), np.log(prior / (1 - prior))), 0.0, 0.0
+    turned, late = 0, []
+    for step in range(1, steps + 1):
+        up = parts(theta)[1] < 0
+        turned += up
+        d = slope(lambda t: -parts(t)[1], theta) if up else slope(lambda t: sum(parts(t)), theta)
+        d = d + decay * np.append(theta[:-1], 0)
+        m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d**2
+        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        late += [theta] if step > steps // 2 else []
+    rows, columns = np.nonzero(x)
+    w, b = toxicity.train(rows, columns, positive, unlabelled, k, prior, steps, rate, decay)
+    assert np.allclose(np.append(w, b), np.mean(late, axis=0), atol=1e-4)
+
+
+def test_quality_scores_are_plain_densities(spark):
+    """Means, shrunk covariances and log-densities written out, by general inverse and determinant."""
+    frame, labels = labelled(spark, 300)
+    frame = frame.unionByName(docs(spark, ODD).selectExpr("doc_id + 1000 AS doc_id", "text"))
+    learn = labels.where("doc_id % 3 <> 1")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(frame, learn.select("doc_id", "quality")).collect()}
+    rows = frame.collect()
+    x = quality.matrix(pa.array([r["text"] for r in rows], pa.string())).astype(np.float32).astype(float)
+    y = {r["doc_id"]: r["quality"] for r in learn.collect()}
+    own = [x[[i for i, r in enumerate(rows) if y.get(r["doc_id"]) == c]] for c in (0, 1)]
+    n = sum(map(len, own))
+    pooled = sum(len(o) * np.cov(o.T) for o in own) / n
+    logs = []
+    for o in own:
+        lean = max(quality.TO_POOLED, quality.DIM / (quality.DIM + len(o)))
+        s = (1 - lean) * np.cov(o.T) + lean * pooled
+        s = (1 - quality.TO_DIAGONAL) * s + quality.TO_DIAGONAL * np.diag(np.diag(s)) + quality.LEAST * np.eye(quality.DIM)
+        d = x - o.mean(0)
+        logs.append(np.log(len(o) / n) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    assert len(got) == len(rows) and np.allclose([got[r["doc_id"]] for r in rows], want, atol=1e-6)
+
+
 def test_negative_risk_is_held_up():
     """With few unlabelled rows and a free feature for each, plain unbiased risk would go below zero; this one doesn't drive scores apart without end."""
     n = 40
@@ -307,7 +421,74 @@ def test_items_without_windows_inside_longer_texts(text, found):
     assert got == [(row, item) for row in (1, 3) for item in found]
 
 
-def test_decontamination_frames(spark):
+def plain_template(words):
+    """(type or word, value) of words without names: a run of numbers is one, a unit stands after a number."""
+    numbers, units = set(decontam.NUMBERS.split()), set(decontam.UNITS.split())
+    out = []
+    for i, w in enumerate(words):
+        number = w[0].isdigit() or w in numbers
+        if number and out and out[-1][0] == "#":
+            out[-1] = ("#", out[-1][1] + " " + w)
+        elif number:
+            out.append(("#", w))
+        elif i and (words[i - 1][0].isdigit() or words[i - 1] in numbers) and w in units:
+            out.append(("%", w))
+        else:
+            out.append((w, w))
+    return out
+
+
+def plain_found(text, item):
+    """The rule written out: windows of an alignment, slots, and the two ways for items without windows."""
+    words_, wanted = text.split(), item.split()
+    t, q = plain_template(words_), plain_template(wanted)
+    literal = lambda p: sum(k not in "#%" for k, _ in p)
+    width = decontam.WIDTH
+    starts = [i for i in range(len(q) - width + 1) if literal(q[i : i + width]) >= decontam.LITERALS]
+    short = decontam.LITERALS < len(q) < width and decontam.LITERALS <= literal(q) < len(q)
+    if short:
+        starts, width = [0], len(q)
+    for shift in range(-len(q), len(t)):
+        places = [i for i in starts if 0 <= i + shift and i + shift + width <= len(t) and [k for k, _ in q[i : i + width]] == [k for k, _ in t[i + shift : i + shift + width]]]
+        if starts and len(places) >= min(decontam.SHARE * len(starts), decontam.ENOUGH) and places:
+            pairs = {(q[k][0], q[k][1], t[k + shift][1]) for p in places for k in range(p, p + width) if q[k][0] in "#%"}
+            if len({p[:2] for p in pairs}) == len(pairs) == len({(p[0], p[2]) for p in pairs}):
+                return True
+    if not starts or short:
+        return any(words_[i : i + len(wanted)] == wanted for i in range(len(words_) - len(wanted) + 1)) if wanted else False
+    return False
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(0, 10**9))
+def test_templates_are_the_plain_ones(seed):
+    """Lower-case texts without stops, so no names: items planted whole, in part, with other numbers, and with slots that fall together."""
+    rng = random.Random(seed)
+    vocabulary = ["ape", "bee", "cat", "dog", "elk", "7", "12", "30", "km", "kg", "two"]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(rng.choice((1, 3, 6, 7, 9, 14, 40))) for _ in range(4)]
+    texts = []
+    for _ in range(5):
+        text = some(rng.randint(0, 12))
+        for item in rng.sample(items, 2):
+            low = rng.choice((0, 0, rng.randint(0, len(item))))
+            swap = {n: rng.choice(["7", "12", "30", "99"]) if rng.random() < 0.4 else n for n in ("7", "12", "30")}
+            text += [swap.get(w, w) for w in item[low:]] + ["fox"] + some(rng.randint(0, 6))
+        texts.append(" ".join(text))
+    items = [" ".join(i) for i in items]
+    got = {(row, item) for row, item, *_ in decontam.matches(pa.array(texts), decontam.prepare(list(range(len(items))), items))}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if plain_found(t, item)}
+
+
+def test_short_items_with_other_values():
+    items = decontam.prepare([1], ["What is the price of 3 pears?"])
+    found = [m[:2] + m[4:] for m in decontam.matches(pa.array(["So what is the price of 3 pears now", "What is the price of 12 pears", "what is the cost of 3 pears"]), items)]
+    assert found == [(0, 0, False), (1, 0, True)]
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_decontamination_frames(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
     frame = docs(spark, [*ODD, f"x {ITEM} y", f"{ITEM} {ITEM}"])
     bench = spark.createDataFrame([(7, ITEM, 1), (8, None, 1), (9, "", 1), (10, "word", 1)], "item_id bigint, text string, doc_id int")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.find(frame, bench).collect()) == [(4, 10), (5, 10), (9, 7), (10, 7)]
@@ -316,6 +497,26 @@ def test_decontamination_frames(spark):
     assert decontam.find(frame, bench.limit(0)).count() == 0 and decontam.clean(frame, bench.limit(0)).count() == 11 and decontam.find(frame.limit(0), bench).count() == 0
 
 
+def test_a_large_benchmark_is_joined(spark, monkeypatch):
+    """The hash join finds what the broadcast blocks find: whole, in part, with other values, short, and word for word."""
+    rng = random.Random(8)
+    items = [ITEM, *SHORT, "What is the price of 3 pears?", None, "", ITEM.replace("market", "fair")] + [" ".join(rng.choice(ITEM.split()) for _ in range(rng.choice((2, 6, 12, 50)))) for _ in range(30)]
+    texts = [*ODD]
+    for _ in range(60):
+        item = rng.choice([i for i in items if i])
+        low = rng.choice((0, 0, len(item) // 3))
+        texts.append(f"{'filler ' * rng.randint(0, 9)}{item[low:].replace('12', rng.choice(('12', '77'))).replace('Alice', rng.choice(('Alice', 'Maria')))} and so on")
+    frame = spark.createDataFrame([(i % 50, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, __t1 string")
+    bench = spark.createDataFrame([(f"i{i % 40}", t) for i, t in enumerate(items)], "item_id string, text string").repartition(3)
+    got = []
+    for most in (64 << 20, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", most)
+        kept = decontam.clean(frame, bench)
+        assert kept.columns == frame.columns
+        got.append((sorted(map(str, decontam.find(frame, bench).collect())), sorted(map(str, kept.collect()))))
+    assert got[0] == got[1] and len(got[0][0]) > 30
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
     frame = docs(spark, [ITEM, "two other words that make nine of them here"])
