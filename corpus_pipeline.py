@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, decontam, ngram_join, pii, toxicity
-from eventloom.llm.common import cut, table, third
+from eventloom.llm.common import Scratch, table, third, unused
 from eventloom.llm.queries import TOXIC
 
 
@@ -19,7 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under TOXIC, by a classifier learnt from the training rows of labels."""
     learn = third(F.col("doc_id")) != 1
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(learn), may_learn=learn)
-    return toxicity.score(docs, model, name="__score").where(F.col("__score") < TOXIC).drop("__score")
+    (score,) = unused(docs.columns, "__score")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < TOXIC).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,10 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """All documents, with the kind of each span in its place; n_chars changes by as much as the text."""
     if "n_chars" not in docs.columns:
         return pii.redacted(docs)
-    done = pii.redacted(docs.withColumn("__chars", F.char_length("text")))
-    return done.withColumn("n_chars", F.coalesce(F.col("n_chars") + F.char_length("text") - F.col("__chars"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).drop("__chars")
+    (before,) = unused(docs.columns, "__chars")
+    done = pii.redacted(docs.withColumn(before, F.char_length("text")))
+    change = F.char_length("text") - F.col(before)
+    return done.withColumn("n_chars", F.coalesce(F.col("n_chars") + change, F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +56,15 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Learning, near copies and encoding are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
+#: Learning, near copies and encoding are beyond SQL; tests/llm/test_joins.py has the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        made = Scratch(spark)
+        docs = made.cut(stage(spark, docs, sf_dir))
+        before.clear()  # what a stage has read isn't needed once its result is written
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)
