@@ -13,13 +13,13 @@ the first n - ceil(0.75 n) + 1 of each (the prefix). The order puts frequent shi
    shingle, the groups that have it. All of them go to the bundle of the first one. Pairs are never written.
    Within a shingle's groups a bundle ends where sizes differ too much to link. Shingles of class HOT and above don't meet in
    a range: each makes bundles of its own, one for each size class (sizes of two that follow one another can link, so a group is in two).
-4. Bundles are expanded to the distinct sets of their groups. A bundle of more than BLOCK_ROWS sets, or with more than BLOCK_SHINGLES
+4. Bundles are expanded to the distinct sets of their groups. A bundle of more than LEAST_ROWS sets, or with more than BLOCK_SHINGLES
    shingles, is dealt out to several blocks, each with a few sets of the bundle (hubs) besides its own. In the others, a set stays
    only if its bitmap (two bits or more a shingle, by hash) leaves room for enough common shingles with
    another one: a bit of A that B lacks is a shingle of A that B lacks, so no link is lost.
 5. The sets of a block are verified in one task: exact intersections, links as a spanning forest. Where a
    bundle had several blocks, sets that aren't linked to its largest class by then meet every
-   block in a second round, BLOCK_ROWS of them at a time: first by bitmaps alone, then, where these leave room for a link, exactly. So each pair that
+   block in a second round, MOST_ROWS of them at a time: first by bitmaps alone, then, where these leave room for a link, exactly. So each pair that
    shares a prefix shingle is either verified or known to be in one component.
 6. Components of the links, with equal sets linked to their smallest id.
 
@@ -48,8 +48,8 @@ MOST_FREQUENT, FREQUENT = 1 << 18, 16
 HOT = 17
 #: Shingles a task counts at a time, entries of a shuffled array, ids that may be broadcast.
 COUNT_CHUNK, PACK_CHUNK, BROADCAST_IDS = 1 << 21, 1 << 19, 1 << 20
-#: Sets of a block, shingles of all of them, and hubs that go to every block of a bundle (on average).
-BLOCK_ROWS, BLOCK_SHINGLES, HUBS = 128, 1 << 20, 4
+#: Sets of a block: a thirty-second of the bundle within these bounds; shingles of all of them, and hubs that go to every block of a bundle (on average).
+LEAST_ROWS, MOST_ROWS, BLOCK_SHINGLES, HUBS = 64, 512, 1 << 20, 4
 
 Sets = Iterator[tuple[int, np.ndarray, np.ndarray]]
 
@@ -355,8 +355,9 @@ def _join(docs: DataFrame, key: str, width: int, percent: int, work: Scratch) ->
     leaders = bundles.select("leader").distinct().select("leader", F.col("leader").alias("member")).unionByName(several.select(F.col("g").alias("leader"), F.col("g").alias("member"))).distinct()
     members = work.cut(bundles.unionByName(leaders).join(classes.select(F.col("g").alias("member"), "k1", "k2", "n", "rep"), "member").select("leader", "k1", "k2", "n", "rep"))
     # few bundles need several blocks (there are at most as many as a block's bounds go into all members)
-    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("long")
-    large = work.cut(members.groupBy("leader").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2")).alias("hub")).where("blocks > 1"))
+    m = F.count(F.lit(1))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, m / F.least(F.greatest(m / 32, F.lit(LEAST_ROWS)), F.lit(MOST_ROWS)))).cast("long")
+    large = work.cut(members.groupBy("leader").agg(blocks.alias("blocks"), m.alias("m"), F.min(F.struct("k1", "k2")).alias("hub")).where("blocks > 1"))
     large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     hub = (F.struct("k1", "k2") == F.col("hub")) | (F.pmod(F.xxhash64(F.lit(HUBS), "k1", "k2"), F.greatest(F.lit(1), F.floor(F.col("m") / HUBS))) == 0)
@@ -389,7 +390,7 @@ def _join(docs: DataFrame, key: str, width: int, percent: int, work: Scratch) ->
         so_far = components(links, work=work).withColumnsRenamed({"node": "rep"})
         placed = work.cut(split.join(so_far, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
         largest = placed.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("leader").agg(F.max_by("component", F.struct("m", "component")).alias("main"), (F.sum("m") - F.max("m")).alias("others")).where("others > 0")
-        late = placed.join(largest.select("leader", "main", F.ceil(F.col("others") / BLOCK_ROWS).cast("long").alias("turns")), "leader").join(bits, ["rep", "k1", "k2"])
+        late = placed.join(largest.select("leader", "main", F.ceil(F.col("others") / MOST_ROWS).cast("long").alias("turns")), "leader").join(bits, ["rep", "k1", "k2"])
         away = F.col("component") != F.col("main")
         upto = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
         # a block's own sets are there for each turn; a late one goes to all blocks in its turn
