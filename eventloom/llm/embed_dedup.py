@@ -44,8 +44,8 @@ ORDERS, RUN, EACH, BITS = 6, 16, 5, 16
 LIST, LONGEST, PART, BEST = 10, 40, 256, 3
 ROUNDS, CHANGED = 8, 0.02
 AUDIT, RECALL, TRIES, MORE = 128, 0.98, 3, 8
-#: Nodes of a block of the exact step: a sixteenth of the class within these bounds.
-LEAST_BLOCK, MOST_BLOCK = 64, 2048
+#: Nodes of a block of the exact step: a twenty-fourth of the class within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 32, 2048
 #: Size of a label from which effort grows; nodes of all samples together; linked nodes from which a label is judged by its own; centres that may be broadcast.
 USUAL, MOST_AUDITED, LEAST_LINKED, BROADCAST = 1 << 13, 1 << 14, 20, 1 << 20
 
@@ -322,7 +322,7 @@ def _descend(known: DataFrame, orders: range, floor: float, parts: int, bits: in
 def _exact(known: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """id, links, root: of each node of a class, counts of links to copies of others, to be summed over its rows; the smallest node that it is linked with, if the class is one block; otherwise rows
     without id have pairs that join what is linked (near), one after another."""
-    each = F.least(F.greatest(F.col("n") / 16, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+    each = F.least(F.greatest(F.col("n") / 24, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
     sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", F.ceil(F.col("n") / each).cast("long").alias("blocks"))
     members = candidates.join(sizes, "component").withColumnsRenamed({"node": "id"}).join(known.select("id", "copies", "raw"), "id")
     dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
