@@ -126,14 +126,16 @@ def known(log: DataFrame) -> DataFrame:
 def decisions(items: DataFrame, state: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
     """SCHEMA for each item (ITEM_SCHEMA); state: what known() gives of the log that the requests are made to. A stream's requests go through one task in order, a batch at a time."""
     ship(items.sparkSession)
-    items = items.select(*_NAMES)
-    across = crossing(items, shards).select("request_id")
-    out = items.join(across, "request_id", "left_semi").select(
-        F.pmod("aggregate_id", F.lit(shards)).cast("long").alias("shard_id"), "request_id", "aggregate_id", "op", F.lit(False).alias("accepted"), F.lit(errors.SEVERAL_SHARDS).alias("code"), F.lit(None).cast("long").alias("aggregate_version"), F.lit(None).cast("long").alias("event_seq"),
+    shard = F.pmod("aggregate_id", F.lit(shards)).cast("long")
+    # requests with several items are few; they are joined to the items, which are aggregated before that shuffle
+    several = items.groupBy("request_id").agg(F.count(F.lit(1)).alias("__n"), (F.min(shard) != F.max(shard)).alias("__across")).where("__n > 1")
+    marked = items.select(*_NAMES).join(several, "request_id", "left")
+    out = marked.where("__across").select(
+        shard.alias("shard_id"), "request_id", "aggregate_id", "op", F.lit(False).alias("accepted"), F.lit(errors.SEVERAL_SHARDS).alias("code"), F.lit(None).cast("long").alias("aggregate_version"), F.lit(None).cast("long").alias("event_seq"),
     )
-    within = items.join(across, "request_id", "left_anti")
-    several = within.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("request_id")
-    tied = within.join(several, "request_id", "left_semi").select("aggregate_id").distinct().withColumn("tied", F.lit(True))
+    within = marked.where("NOT coalesce(__across, false)")
+    tied = within.where("__n IS NOT NULL").select("aggregate_id").distinct().withColumn("tied", F.lit(True))
+    within = within.select(*_NAMES)
     if state is not None:
         within = within.unionByName(state.select(*_NAMES))
 
@@ -168,7 +170,6 @@ def decisions(items: DataFrame, state: DataFrame | None = None, shards: int = SH
         if held:
             yield pd.DataFrame(decided(), columns=[c.strip().split(" ")[0] for c in SCHEMA.split(",")])
 
-    shard = F.pmod("aggregate_id", F.lit(shards)).cast("long")
     lane = F.when(F.coalesce("tied", F.lit(False)), F.lit(-1).cast("long")).otherwise(F.col("aggregate_id"))
     placed = within.join(tied, "aggregate_id", "left").select(shard.alias("shard_id"), lane.alias("lane"), *_NAMES)
     ordered = placed.repartition("shard_id", "lane").sortWithinPartitions("shard_id", "lane", "request_id", "aggregate_id", F.desc("op"))  # state before client

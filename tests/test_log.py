@@ -364,7 +364,7 @@ def test_segments_are_pruned(spark, tmp_path):
 
 def test_columns_have_bloom_filters(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/log")
-    store.append(log(spark, [batch(i, 4 * i) for i in range(1, 40)]))
+    store.append(log(spark, [batch(i, 4 * i, client=1000 + i) for i in range(1, 40)]))
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found = set()
     for name in store.written().inputFiles():
