@@ -41,7 +41,7 @@ MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 12_000, 24_000, 4096
 BEGINNINGS, LEAST_LIFT, LEAST_COUNT = (4, 5, 6, 7), 3.0, 3
 STEPS, RATE, DECAY = 400, 0.1, 1e-4
 #: Bounds of an estimated prior, its confidence in standard errors, and the least rate in P of a feature that it is estimated by.
-LEAST_PRIOR, MOST_PRIOR, SURE, LEAST_RATE = 1e-4, 0.95, 2.0, 0.02
+LEAST_PRIOR, MOST_PRIOR, SURE, LEAST_RATE = 1e-4, 0.95, 2.5, 0.02
 
 #: Everything in ASCII that is neither a letter nor a digit parts words.
 APART = np.ones(256, bool)
